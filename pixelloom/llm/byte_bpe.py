@@ -22,11 +22,22 @@ import regex
 from pyspark.sql import DataFrame
 
 from pixelloom.llm import store
-from pixelloom.llm.chunks import ChunkCache, chunk_text, chunks
+from pixelloom.llm.chunks import Bounded, chunk_text, chunks, parts
 
 NONE = np.int64(1) << 60
 
 
+class _Two(dict):
+    """The cache, and what this slice alone has met."""
+
+    def __init__(self, cache: dict, own: dict):
+        super().__init__(own)
+        self.cache = cache
+
+    def __missing__(self, key: str) -> bytes:
+        return self.cache[key]
+
+
 class ByteBpe:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
@@ -57,7 +68,8 @@ class ByteBpe:
             put = free & first
             self.slot_key[at[put]], self.slot_rank[at[put]] = keys[put], values[put]
             keys, values, at = keys[~put], values[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
-        self.cache = ChunkCache(lambda c: self.words_ids([c])[0], lambda t: self.words_ids([t])[0])
+        self.cache = Bounded(lambda k: self.words_ids([chunk_text(k)])[0], 300_000, 0)
+        self.words = Bounded(lambda w: self.words_ids([w])[0], 400_000, 100_000)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -75,7 +87,7 @@ class ByteBpe:
             todo, at = todo[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def _merge(self, words: list[bytes], width: int) -> list[np.ndarray]:
+    def _merge(self, words: list[bytes], width: int) -> list[bytes]:
         """Ids of words of 2..width bytes (width a power of two), by one segment tree a word, all in step."""
         n, size = len(words), np.array([len(w) for w in words])
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
@@ -121,39 +133,44 @@ class ByteBpe:
                 tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             live = live[tree[live, 1] < NONE]
         kept = ids[:, :width]
-        return np.split(kept[kept >= 0].astype("<u4"), np.cumsum((kept >= 0).sum(axis=1))[:-1])
+        found, ends = kept[kept >= 0].astype("<u4").tobytes(), (4 * np.cumsum((kept >= 0).sum(axis=1))).tolist()
+        return [found[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def words_ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes; equal words are merged once."""
-        split = [[w.encode() for w in self.pattern.findall(t)] for t in texts]
-        done: dict[bytes, bytes] = {}
-        by_width: dict[int, list[bytes]] = {}
+        split = [parts(t) or self.pattern.findall(t) for t in texts]
+        by_width: dict[int, list[str]] = {}
+        done: dict[str, bytes] = {}
         for w in {w for words in split for w in words}:
-            rank = self.ranks.get(w)
+            known = self.words.get(w) or self.words.young.get(w)
+            if known is not None:
+                done[w] = known
+                continue
+            raw = w.encode()
+            rank = self.ranks.get(raw)
             if rank is not None:
                 done[w] = rank.to_bytes(4, "little")
+                self.words.store(w, done[w])
             else:
-                by_width.setdefault(max(4, 1 << (len(w) - 1).bit_length()), []).append(w)
+                by_width.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append(w)
         for width, words in by_width.items():
-            step = max(1, (1 << 20) // width)
+            step = max(1, (1 << 19) // width)
             for s in range(0, len(words), step):
                 part = words[s : s + step]
-                done.update(zip(part, (a.tobytes() for a in self._merge(part, width)), strict=True))
-        return [b"".join(done[w] for w in words) for words in split]
+                for w, ids in zip(part, self._merge([w.encode() for w in part], width), strict=True):
+                    done[w] = ids
+                    self.words.store(w, ids)
+        return [b"".join([done[w] for w in words]) for words in split]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         keyed = [chunks(t) if t else [] for t in texts]
-        fresh = sorted(set().union(*(self.cache.unknown(k) for k in keyed if k)))
+        fresh = list(self.cache.unknown(k for keys in keyed if keys for k in keys))
         known = dict(zip(fresh, self.words_ids([chunk_text(k) for k in fresh]), strict=True))
-        out = []
-        for t, keys in zip(texts, keyed, strict=True):
-            if keys is None:
-                out.append(self.words_ids([t])[0])
-            else:
-                out.append(b"".join([known[k] if k in known else self.cache[k] for k in keys] if known else map(self.cache.__getitem__, keys)))
-        for k, v in known.items():
-            self.cache.store(k, v)
-        return out
+        for k in fresh:
+            self.cache.store(k, known[k])
+        known = {k: v for k, v in known.items() if k not in self.cache}
+        look = _Two(self.cache, known).__getitem__ if known else self.cache.__getitem__
+        return [self.words_ids([t])[0] if keys is None else b"".join(map(look, keys)) for t, keys in zip(texts, keyed, strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

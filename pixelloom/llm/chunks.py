@@ -3,16 +3,12 @@
 A chunk is a run of non-space characters with the one white-space character before it.  Both families of pattern
 used here start a new match at every single blank or newline that stands between two other characters, so encoding
 chunk by chunk gives the ids of the whole text.  A text with any other white space is encoded whole by ``whole``.
-Caches are bounded: the first ``FROZEN`` chunks stay, later ones live in a young generation that is cleared when full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-FROZEN, YOUNG = 300_000, 120_000
-
-
 def chunks(text: str) -> list[str] | None:
     """Keys of a text's chunks: the first is marked by NUL, newline chunks keep it, the others imply a blank.
 
@@ -29,32 +25,41 @@ def chunk_text(key: str) -> str:
     return key[1:] if key[0] == "\x00" else key if key[0] == "\n" else " " + key
 
 
-class ChunkCache(dict):
-    """Chunk key to encoded bytes; ``encode`` turns one chunk's text into bytes."""
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def parts(chunk: str) -> list[str] | None:
+    """Pattern matches of the commonest kind of chunk, a blank, letters and marks after them; None for any other."""
+    lead = chunk[:1] == " "
+    body = chunk[1:] if lead else chunk
+    word = body.rstrip(MARKS)
+    if not word.isalpha():  # exactly the letter categories
+        return None
+    first = " " + word if lead else word
+    return [first] if len(word) == len(body) else [first, body[len(word) :]]
+
+
+class Bounded(dict):
+    """Key to bytes with bounded memory: the first ``frozen`` entries stay, later ones are cleared when too many."""
 
-    def __init__(self, encode: Callable[[str], bytes], whole: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], frozen: int, young: int):
         super().__init__()
-        self.encode, self.whole, self.young = encode, whole, {}
+        self.make, self.frozen, self.most, self.young = make, frozen, young, {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.young.get(key)
         if found is None:
-            self.store(key, found := self.encode(chunk_text(key)))
+            self.store(key, found := self.make(key))
         return found
 
     def store(self, key: str, value: bytes) -> None:
-        if len(self) < FROZEN:
+        if len(self) < self.frozen:
             self[key] = value
-            return
-        if len(self.young) >= YOUNG:
-            self.young.clear()
-        self.young[key] = value
-
-    def text(self, text: str) -> bytes:
-        if not text:
-            return b""
-        keys = chunks(text)
-        return self.whole(text) if keys is None else b"".join(map(self.__getitem__, keys))
+        elif self.most:
+            if len(self.young) >= self.most:
+                self.young.clear()
+            self.young[key] = value
 
     def unknown(self, keys: Iterable[str]) -> set[str]:
         return {k for k in keys if k not in self and k not in self.young}

@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-from pixelloom.llm.chunks import ChunkCache
+from pixelloom.llm.chunks import MARKS, Bounded, chunk_text, chunks
+
+
+def _spelling() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+BYTE_SPELLING = _spelling()
 
 
 class LibraryEncoder:
@@ -25,25 +36,36 @@ class LibraryEncoder:
         self.tok.encode_special_tokens = True
         self.vocab_size = self.tok.get_vocab_size()
         self.normalizer, self.pre, self.model = self.tok.normalizer, self.tok.pre_tokenizer, self.tok.model
-        self.words: dict[str, bytes] = {}
-        self.cache = ChunkCache(self._chunk, self._whole)
-        self.ids = self.cache.text
+        self.words = Bounded(self._word, 500_000, 150_000)
+        self.cache = Bounded(self._key, 250_000, 0)
+
+    def ids(self, text: str) -> bytes:
+        if not text:
+            return b""
+        keys = chunks(text)
+        return self._whole(text) if keys is None else b"".join(map(self.cache.__getitem__, keys))
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= 200_000:
-                self.words.clear()
-            found = self.words[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(word))
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        if self.normalizer is not None:
-            chunk = self.normalizer.normalize_str(chunk)
-        return b"".join(self._word(w) for w, _ in self.pre.pre_tokenize_str(chunk)) if chunk else b""
+        """One pre-token, spelt as the byte-level pre-tokenizer does: a printable character for each UTF-8 byte."""
+        spelt = word.encode().decode("latin-1").translate(BYTE_SPELLING)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def _key(self, key: str) -> bytes:
+        chunk = chunk_text(key)
+        if self.normalizer is not None:  # drops white space and case
+            chunk = chunk.lstrip(" \n").lower() if chunk.isascii() else self.normalizer.normalize_str(chunk).lstrip(" ")
+        body = chunk.removeprefix(" ")
+        word = body.rstrip(MARKS)
+        if word.isalpha():
+            marks = len(body) - len(word)
+            return self.words[chunk[:-marks]] + self.words[chunk[-marks:]] if marks else self.words[chunk]
+        return b"".join(self._spelt(w) for w, _ in self.pre.pre_tokenize_str(chunk)) if chunk else b""
+
+    def _spelt(self, spelt: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
 
 @lru_cache(maxsize=2)
