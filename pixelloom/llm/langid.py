@@ -14,6 +14,7 @@ documents with null lang or null doc_id teach nothing; a null doc_id counts as h
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -222,18 +223,23 @@ def _maximise(model: Model, words: list[str], weights: np.ndarray) -> None:
 _MODELS: dict[str, Model] = {}
 
 
+def _model(name: str, sent: tuple) -> Model:
+    """The worker's copy of a broadcast model, made once."""
+    if name not in _MODELS:
+        _MODELS.clear()
+        languages, pieces, prob, prior = sent
+        _MODELS[name] = Model(languages, pieces, prob.astype(np.float64), prior)
+    return _MODELS[name]
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every whole text; the text is all that a prediction sees."""
     sent = (model.languages, model.pieces, model.prob.astype(np.float32), model.prior)
     shared = docs.sparkSession.sparkContext.broadcast(sent)  # vocabulary by languages: bounded by both parameters
-    name = str(id(shared))
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _MODELS:
-            _MODELS.clear()
-            languages, pieces, prob, prior = shared.value
-            _MODELS[name] = Model(languages, pieces, prob.astype(np.float64), prior)
-        own = _MODELS[name]
+        own = _model(name, shared.value)
         for rows, texts in store.slices(batches):
             found = own.predict(texts)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -244,3 +250,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     return predict(docs, learn(docs, vocabulary_path))
+
+
+def identified(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """The rows, with all their columns, whose language can be told; those that are ``und`` go."""
+    if docs.drop("text").columns == docs.columns:
+        raise ValueError("no text column")
+    model = learn(docs, vocabulary_path)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.prob.astype(np.float32), model.prior))
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _model(name, shared.value)
+        for rows, texts in store.slices(batches):
+            yield rows.filter(pa.array([x != "und" for x, _ in own.predict(texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

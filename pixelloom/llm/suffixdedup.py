@@ -400,7 +400,10 @@ def _kept(text: bytes, s: np.ndarray, e: np.ndarray) -> bytes:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (the remaining bytes), starts, ends (maximal removed runs), n_bytes of every document."""
+    """doc_id, n_bytes, starts, ends (maximal removed runs of bytes), kept (the remaining bytes), kept_text of every document.
+
+    A run may cut through a character; ``kept_text`` leaves such characters out.
+    """
     return _result(docs, digest=False)
 
 
@@ -426,8 +429,8 @@ def _result(docs: DataFrame, digest: bool) -> DataFrame:
                         "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
                     }
                 else:
-                    columns |= {"starts": pa.array([s for s, _ in spans], pa.list_(pa.int64())), "ends": pa.array([e for _, e in spans], pa.list_(pa.int64())), "kept": pa.array(list(kept), pa.binary())}
+                    columns |= {"starts": pa.array([s for s, _ in spans], pa.list_(pa.int64())), "ends": pa.array([e for _, e in spans], pa.list_(pa.int64())), "kept": pa.array(whole := list(kept), pa.binary()), "kept_text": pa.array([k.decode("utf-8", "ignore") for k in whole], pa.string())}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "n_removed long, n_spans long, kept_sha256 string" if digest else "starts array<long>, ends array<long>, kept binary"
+    schema = "n_removed long, n_spans long, kept_sha256 string" if digest else "starts array<long>, ends array<long>, kept binary, kept_text string"
     return blocks.mapInArrow(run, f"doc_id long, n_bytes long, {schema}")

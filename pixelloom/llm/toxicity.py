@@ -23,8 +23,8 @@ from pixelloom.llm import store
 from pixelloom.llm.chunks import MARKS
 from pixelloom.llm.langid import held_out
 
-POSITIVE, NEGATIVE, BITS = 2500, 5000, 20
-ALPHA, BETA, L1, L2, PASSES = 0.1, 1.0, 1.0, 1.0, 3
+POSITIVE, NEGATIVE, BITS = 5000, 10000, 20
+ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 3.0, 1.0, 4
 _WORDS: dict[str, int] = {}
 
 
@@ -63,7 +63,7 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[float, np.ndarray, np.ndarr
 
     for _ in range(PASSES):
         for found, label in rows:
-            at = np.append(found, size)
+            at = np.append(found.astype(np.int64), size)
             w = weight(at)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
@@ -90,7 +90,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.nda
     joined = store.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "o", "toxic")
     rows = joined.mapInArrow(run, "o long, toxic int, doc_id long, f binary").collect()
     rows = sorted((r["o"], r["doc_id"], r["toxic"], bytes(r["f"])) for r in rows)
-    return fit([(np.frombuffer(f, "<u4").astype(np.int64), label) for _, _, label, f in rows])
+    return fit([(np.frombuffer(f, "<u4"), label) for _, _, label, f in rows])
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
