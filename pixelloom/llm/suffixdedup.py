@@ -6,9 +6,11 @@ bytes the ``GRAM``-byte string of least hash (its anchor) is taken, and two equa
 Suffixes are ordered by 64-bit fingerprints of their first bytes instead of the bytes themselves.  Three rounds:
 
 1. anchors: which occur in two documents at all; everything else is settled (no window around them repeats);
-2. runs: the windows that share one anchor occurrence lie in at most 84 bytes; equal runs match as a whole, and an
+2. runs: the windows that share one anchor occurrence lie in at most ``2 * LENGTH - GRAM`` bytes; equal runs match as a whole, and an
    anchor with one kind of run needs no more;
-3. windows: where an anchor has several kinds of runs, the first holder of each kind lists its windows one by one.
+3. windows: where an anchor has several kinds of runs, the first holder of each kind sends the bytes of its run to the
+   partition of the anchor, which compares all windows in it; for the few anchors with more than ``HEAVY`` kinds of
+   runs the windows themselves are sent, each to a partition of its own, so that no anchor fills a partition.
 
 Texts are first written as block files in shared storage.  In each round a block sends every distinct fingerprint
 once, with its least doc_id, to the partition of the fingerprint, and gets one bit back for each; so a passage that a
@@ -35,12 +37,11 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import store
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM, HEAVY = 50, 24, 2048
 #: Bytes of text of a block file, and of one piece inside it that numpy handles at once.
 BLOCK, PIECE = 12 << 20, 1 << 19
 LAST = np.int64((1 << 63) - 1)
-ANCHOR, RUN_OF_ANCHOR, RUN, WINDOW = 0, 1, 2, 3
-SEVERAL = np.int64(-1)
+ANCHOR, KINDS_OF_RUN, RUN, WINDOW, BYTES, CROWDED = 0, 1, 2, 3, 4, 5
 _U = np.uint64
 
 
@@ -98,7 +99,11 @@ class Block:
         sizes = np.array([len(p) for p in parts])
         begins = np.cumsum(sizes) - sizes
         w = _words(np.frombuffer(b"".join(parts), dtype=np.uint8))
-        gram = _mix(w[: -(GRAM - 8)] + _mix(w[GRAM - 8 :], 0xC2B2AE3D27D4EB4F), 0x9E3779B97F4A7C15)
+        n = len(w) - (GRAM - 8)
+        gram = w[:n].copy()
+        for off in (*range(8, GRAM - 8, 8), GRAM - 8):
+            gram = _mix(gram, 0x9E3779B97F4A7C15) + w[off : off + n]
+        gram = _mix(gram, 0xC2B2AE3D27D4EB4F)
         m = (gram & ~_U((1 << 24) - 1)) | np.arange(len(gram), dtype=_U)
         span, reach = LENGTH - GRAM + 1, 1
         while 2 * reach <= span:
@@ -153,11 +158,11 @@ class LogIndex:
             order = np.argsort(k, kind="stable")
             k, v, c = k[order], v[order], c[order]
             at = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0] if len(k) else np.zeros(0, np.int64)
-            keys, values, count = k[at], np.minimum.reduceat(v, at) if len(at) else v, np.minimum(np.add.reduceat(c, at), 2) if len(at) else c
+            keys, values, count = k[at], np.minimum.reduceat(v, at) if len(at) else v, np.add.reduceat(c, at) if len(at) else c
         self.levels.append((keys, values, count))
 
     def scan(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least value and number of holders (2: two or more) of each key over all levels."""
+        """Least value and number of holders of each key over all levels."""
         least, count = np.full(len(keys), LAST), np.zeros(len(keys), dtype=np.int64)
         for k, v, c in self.levels:
             if len(k):
@@ -227,22 +232,64 @@ class _Work:
 
     def runs(self, replies: list[dict] | None) -> list[_Asked]:
         b, live = self.block, self.live
-        keys, least, self.run_at = _by_key(b.r[live], self.order[b.doc[live]])
-        self.run = _Asked(RUN, keys, least, self.parts, replies)
-        anchors, low, self.anchor_at = _by_key(b.h[live], b.r[live])
-        high = np.full(len(anchors), -LAST)
-        np.maximum.at(high, self.anchor_at, b.r[live])
-        self.anchor = _Asked(RUN_OF_ANCHOR, anchors, np.where(low == high, low, SEVERAL), self.parts, replies)
-        self.covered = (self.order[b.doc[live]] > least[self.run_at]) | self.run.yes[self.run_at]
-        self.open = ~self.covered & self.anchor.yes[self.anchor_at]
-        return [self.run, self.anchor]
-
-    def windows(self, replies: list[dict] | None) -> _Asked:
-        prints, self.w_doc, self.w_start = self.block.windows(self.live[self.open])
-        keys, least, at = _by_key(prints, self.order[self.w_doc])
+        keys, least, run_at = _by_key(b.r[live], self.order[b.doc[live]])
+        run = _Asked(RUN, keys, least, self.parts, replies)
+        # one kind of run here: 31 bits of it; several: how many, negated
+        pairs = np.unique(np.stack([b.h[live], b.r[live]]), axis=1) if len(live) else np.zeros((2, 0), np.int64)
+        anchors, first, count = np.unique(pairs[0], return_index=True, return_counts=True)
+        kinds = np.where(count == 1, pairs[1][first] & 0x7FFFFFFF, -count).astype(np.int32)
+        anchor_at = np.searchsorted(anchors, b.h[live])
+        asked = _Asked(KINDS_OF_RUN, anchors, kinds, self.parts, replies)
+        crowded = _Asked(CROWDED, anchors, kinds, self.parts, replies).yes[anchor_at]
+        self.covered = (self.order[b.doc[live]] > least[run_at]) | run.yes[run_at]
+        several = ~self.covered & asked.yes[anchor_at]
+        self.listed, self.sent = live[several & crowded], live[several & ~crowded]
+        return [run, asked]
+
+    def windows(self, replies: list[dict] | None) -> list:
+        b = self.block
+        prints, doc, start = b.windows(self.listed)
+        keys, least, at = _by_key(prints, self.order[doc])
         asked = _Asked(WINDOW, keys, least, self.parts, replies)
-        self.w_covered = (self.order[self.w_doc] > least[at]) | asked.yes[at]
-        return asked
+        sent = _Sent(b, self.sent, self.order, self.parts, replies)
+        covered = (self.order[doc] > least[at]) | asked.yes[at]
+        self.w_doc, self.w_start = np.concatenate([doc[covered], sent.doc[sent.yes]]), np.concatenate([start[covered], sent.start[sent.yes]])
+        return [asked, sent]
+
+
+class _Sent:
+    """Runs of a block sent as bytes to their anchors' partitions: one bit comes back for each of their windows."""
+
+    def __init__(self, block: Block, runs: np.ndarray, order: np.ndarray, parts: int, replies: list[dict] | None):
+        by_part, self.begins = _parts(block.h[runs], parts)
+        self.runs, self.block, self.order = runs[by_part], block, order
+        n = (block.last - block.first + 1)[self.runs].astype(np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(n)])
+        self.doc = np.repeat(block.doc[self.runs], n)
+        self.start = np.repeat(block.first[self.runs] - self.ends[:-1], n) + np.arange(self.ends[-1])
+        self.yes = np.zeros(self.ends[-1], dtype=bool)
+        for r in replies or []:
+            if r["kind"] == BYTES:
+                a, z = self.ends[self.begins[r["p"]]], self.ends[self.begins[r["p"] + 1]]
+                self.yes[a:z] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: z - a].astype(bool)
+
+    def rows(self, blk: str) -> Iterator[tuple]:
+        b = self.block
+        for p in np.nonzero(np.diff(self.begins))[0].tolist():
+            own = self.runs[self.begins[p] : self.begins[p + 1]]
+            size = (b.last - b.first + LENGTH)[own]
+            raw = b"".join(b.texts[d][s : s + n] for d, s, n in zip(b.doc[own].tolist(), b.first[own].tolist(), size.tolist(), strict=True))
+            yield p, blk, BYTES, size.astype(np.uint8).tobytes() + raw, self.order[b.doc[own]].tobytes()
+
+
+def _sent_windows(keys: bytes, vals: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and doc_ids of all windows of the runs in one payload."""
+    order = np.frombuffer(vals, np.int64)
+    size = np.frombuffer(keys, np.uint8, count=len(order)).astype(np.int64)
+    w = _words(np.frombuffer(keys, np.uint8, offset=len(order)))
+    n = size - (LENGTH - 1)
+    at = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return _prints(w, at).view(np.int64), np.repeat(order, n)
 
 
 PAYLOAD = "p int, blk string, kind int, keys binary, vals binary"
@@ -253,37 +300,46 @@ REPLIES = "array<struct<p:int,kind:int,bits:binary>>"
 def _resolve(table: pa.Table) -> pa.Table:
     """One partition of fingerprints: index all batches, then answer each: has another document (a smaller doc_id) it?"""
     index: dict[int, LogIndex] = {}
-    kinds, blks = table.column("kind").to_pylist(), table.column("blk").to_pylist()
     batches = []
-    for kind, k, v in zip(kinds, table.column("keys").to_pylist(), table.column("vals").to_pylist(), strict=True):
-        keys = np.frombuffer(k, np.int64)
-        if kind == ANCHOR:  # holders: two where the block itself has two
-            values, count = np.zeros(len(keys), np.int64), np.frombuffer(v, np.int8).astype(np.int64) + 1
-        elif kind == RUN_OF_ANCHOR:
-            values, count = np.frombuffer(v, np.int64), np.ones(len(keys), np.int64)
+    for kind, k, v in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "vals")), strict=True):
+        family = index.setdefault(kind, LogIndex())
+        if kind == BYTES:
+            keys, values = _sent_windows(k, v)
+            distinct, least, _ = _by_key(keys, values)
+            family.add(distinct, least, np.ones(len(distinct), np.int64))
         else:
-            values, count = np.frombuffer(v, np.int64), np.ones(len(keys), np.int64)
+            keys = np.frombuffer(k, np.int64)
+            values = np.frombuffer(v, {ANCHOR: np.int8, KINDS_OF_RUN: np.int32}.get(kind, np.int64)).astype(np.int64)
+            if kind == ANCHOR:  # holders: two where the block itself has two documents
+                family.add(keys, values, values + 1)
+            elif kind == KINDS_OF_RUN:  # the largest kind as well, as the least of the negated; holders: kinds of run
+                family.add(keys, values, np.maximum(-values, 1))
+                index.setdefault(-kind, LogIndex()).add(keys, -values, np.ones(len(keys), np.int64))
+            else:
+                family.add(keys, values, np.ones(len(keys), np.int64))
         batches.append((kind, keys, values))
-        index.setdefault(kind, LogIndex()).add(keys, values, count)
-        if kind == RUN_OF_ANCHOR:  # the largest run as well, as the least of the negated
-            index.setdefault(-kind, LogIndex()).add(keys, -values, count)
     out: dict[str, list] = {"blk": [], "p": [], "kind": [], "bits": []}
     p = table.column("p")[0].as_py()
-    for blk, (kind, keys, values) in zip(blks, batches, strict=True):
-        least, count = index[kind].scan(keys)
-        if kind == ANCHOR:
-            yes = count >= 2
-        elif kind == RUN_OF_ANCHOR:
-            yes = (least != -index[-kind].scan(keys)[0]) | (least == SEVERAL)
-        else:
-            yes = least < values
+
+    def answer(blk: str, kind: int, yes: np.ndarray) -> None:
         if yes.any():
             for name, x in (("blk", blk), ("p", p), ("kind", kind), ("bits", np.packbits(yes).tobytes())):
                 out[name].append(x)
+
+    for blk, (kind, keys, values) in zip(table.column("blk").to_pylist(), batches, strict=True):
+        least, count = index[kind].scan(keys)
+        if kind == ANCHOR:
+            answer(blk, kind, count >= 2)
+        elif kind == KINDS_OF_RUN:
+            several = (least < 0) | (least != -index[-kind].scan(keys)[0])
+            answer(blk, kind, several)
+            answer(blk, CROWDED, several & (count > HEAVY))
+        else:
+            answer(blk, kind, least < values)
     return pa.table(out, schema=pa.schema([("blk", pa.string()), ("p", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())]))
 
 
-def _ask(blocks: DataFrame, parts: int, name: str, round_of: Callable[[_Work, dict], list[_Asked]]) -> DataFrame:
+def _ask(blocks: DataFrame, parts: int, name: str, round_of: Callable[[_Work, dict], list]) -> DataFrame:
     """One round: blocks send their keys, partitions answer, and the answers join the block table."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,10 +415,10 @@ def _removals(docs: DataFrame) -> tuple[DataFrame, int]:
         w.anchors(row["r1"])
         return w.runs(None)
 
-    def third(w: _Work, row: dict) -> list[_Asked]:
+    def third(w: _Work, row: dict) -> list:
         w.anchors(row["r1"])
         w.runs(row["r2"])
-        return [w.windows(None)]
+        return w.windows(None)
 
     one = _ask(_dealt(blocks), parts, "r1", lambda w, row: [w.anchors(None)])
     two = _ask(one, parts, "r2", second)
@@ -375,9 +431,9 @@ def _spans(work: _Work, row: dict) -> list[tuple[np.ndarray, np.ndarray]]:
     work.runs(row["r2"])
     work.windows(row["r3"])
     b, live = work.block, work.live[work.covered]
-    doc = np.concatenate([b.doc[live], work.w_doc[work.w_covered]])
-    start = np.concatenate([b.first[live], work.w_start[work.w_covered]])
-    end = np.concatenate([b.last[live] + LENGTH, work.w_start[work.w_covered] + LENGTH])
+    doc = np.concatenate([b.doc[live], work.w_doc])
+    start = np.concatenate([b.first[live], work.w_start])
+    end = np.concatenate([b.last[live] + LENGTH, work.w_start + LENGTH])
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
     cuts = np.searchsorted(doc, np.arange(len(b.texts) + 1))
