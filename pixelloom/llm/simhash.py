@@ -1,8 +1,9 @@
 """Operator 4: SimHash near-duplicates by covering locality-sensitive hashing.
 
-Every bit position gets a random vector of ``radius + 1`` bits; for each non-zero vector v the mask keeps the bits
+Every bit position gets a random vector of ``radius + 1`` bits; for each non-zero vector v the mask drops the bits
 whose vector is orthogonal to v.  The positions in which two fingerprints within the radius differ span at most
-``radius`` dimensions, so some v is orthogonal to them all and the pair agrees under that mask: no pair is missed.
+``radius`` dimensions, so some v is orthogonal to them all, its mask drops them, and the pair agrees under it: no pair
+is missed.
 
 Only distinct fingerprints are compared.  Buckets of one fingerprint are dropped before any Python code; a bucket
 with more than ``BLOCK`` is cut into blocks whose pairs of blocks are dealt out as tasks of their own, which is exact.
@@ -54,7 +55,7 @@ def masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
     """2^(radius+1) - 1 masks of 64 bits that together cover every difference of ``radius`` bits."""
     rnd = random.Random(seed)
     own = [rnd.randrange(1 << (radius + 1)) for _ in range(64)]
-    return [sum(1 << i for i in range(64) if (own[i] & v).bit_count() % 2 == 0) for v in range(1, 1 << (radius + 1))]
+    return [sum(1 << i for i in range(64) if (own[i] & v).bit_count() % 2) for v in range(1, 1 << (radius + 1))]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
