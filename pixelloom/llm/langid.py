@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,16 +221,14 @@ def _maximise(model: Model, words: list[str], weights: np.ndarray) -> None:
     model.prob[-1] = 0.0
 
 
-_MODELS: dict[str, Model] = {}
+def _model(name: str, shared: Broadcast) -> Model:
+    """The worker's copy of a broadcast model, made once."""
 
+    def make() -> Model:
+        languages, pieces, prob, prior = shared.value
+        return Model(languages, pieces, prob.astype(np.float64), prior)
 
-def _model(name: str, sent: tuple) -> Model:
-    """The worker's copy of a broadcast model, made once."""
-    if name not in _MODELS:
-        _MODELS.clear()
-        languages, pieces, prob, prior = sent
-        _MODELS[name] = Model(languages, pieces, prob.astype(np.float64), prior)
-    return _MODELS[name]
+    return store.resident(name, make)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -239,7 +238,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _model(name, shared.value)
+        own = _model(name, shared)
         for rows, texts in store.slices(batches):
             found = own.predict(texts)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -261,7 +260,7 @@ def identified(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _model(name, shared.value)
+        own = _model(name, shared)
         for rows, texts in store.slices(batches):
             yield rows.filter(pa.array([x != "und" for x, _ in own.predict(texts)], pa.bool_()))
 

@@ -38,6 +38,7 @@ def line_keys(text: bytes) -> list[bytes]:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    store.vacate()
     for rows, texts in store.slices(batches):
         keys, docs, hashes, where = [], [], [], []
         for doc_id, h, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), texts, strict=True):

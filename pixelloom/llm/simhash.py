@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every whole text; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.vacate()
         for rows, texts in store.slices(batches):
             fps = [_signed(fingerprint(t.encode())) for t in texts]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])

@@ -8,10 +8,11 @@ visible only through the rows of tasks that ended well, so lost executors and re
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python operator handles at once inside one Arrow batch.
 SLICE_BYTES = 1 << 21
+_RESIDENT: dict[str, object] = {}
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -64,6 +66,24 @@ def texts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
+def resident(name: str, make: Callable[[], object]) -> object:
+    """The one large object (a model with its caches) that a Python worker keeps for its next task."""
+    if name not in _RESIDENT:
+        vacate()
+        _RESIDENT[name] = make()
+    return _RESIDENT[name]
+
+
+def vacate() -> None:
+    """Give what an earlier operator left in this Python worker back to the system: workers outlive stages."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim is not None:
+            trim(0)
+
+
 def text_hash(column: str = "text") -> Column:
     """64 bits of the text: tells rows apart that share a doc_id."""
     return F.xxhash64(F.col(column))

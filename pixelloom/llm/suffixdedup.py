@@ -210,6 +210,7 @@ class _Work:
     """What a block asks in each round, given the replies of the rounds before."""
 
     def __init__(self, path: str, copies: list[int] | None, parts: int):
+        store.vacate()
         fs, local = store.filesystem(path)
         with fs.open_input_file(local) as f:
             table = pa.ipc.open_file(f).read_all()
@@ -299,6 +300,7 @@ REPLIES = "array<struct<p:int,kind:int,bits:binary>>"
 
 def _resolve(table: pa.Table) -> pa.Table:
     """One partition of fingerprints: index all batches, then answer each: has another document (a smaller doc_id) it?"""
+    store.vacate()
     index: dict[int, LogIndex] = {}
     batches = []
     for kind, k, v in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "vals")), strict=True):
@@ -367,6 +369,7 @@ def _write_blocks(docs: DataFrame) -> DataFrame:
     folder = store.shared_dir(docs.sparkSession, "suffix-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.vacate()
         task = TaskContext.get()
         fs, root = store.filesystem(folder)
         state = {"n": 0, "size": 0, "ids": [], "texts": []}
