@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from pixelloom.llm import store
 from pixelloom.llm.chunks import MARKS, Bounded, chunk_text, chunks
 
 
@@ -68,6 +68,5 @@ class LibraryEncoder:
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+    return store.resident(f"library encoder {path}", lambda: LibraryEncoder(path))
