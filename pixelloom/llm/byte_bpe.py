@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +67,8 @@ class ByteBpe:
             put = free & first
             self.slot_key[at[put]], self.slot_rank[at[put]] = keys[put], values[put]
             keys, values, at = keys[~put], values[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
-        self.cache = Bounded(lambda k: self.words_ids([chunk_text(k)])[0], 300_000, 0)
-        self.words = Bounded(lambda w: self.words_ids([w])[0], 400_000, 100_000)
+        self.cache = Bounded(lambda k: self.words_ids([chunk_text(k)])[0], 32 << 20, 0)
+        self.words = Bounded(lambda w: self.words_ids([w])[0], 40 << 20, 12 << 20)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -176,9 +175,8 @@ class ByteBpe:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    return store.resident(f"byte codec {path} {pattern}", lambda: ByteBpe(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -41,11 +41,15 @@ def parts(chunk: str) -> list[str] | None:
 
 
 class Bounded(dict):
-    """Key to bytes with bounded memory: the first ``frozen`` entries stay, later ones are cleared when too many."""
+    """Key to bytes in bounded memory: the entries of the first ``frozen`` bytes stay, later ones go when they pass ``young`` bytes."""
+
+    #: Of an entry beside its characters and bytes: two objects' heads and a place in the table.
+    ENTRY = 180
 
     def __init__(self, make: Callable[[str], bytes], frozen: int, young: int):
         super().__init__()
         self.make, self.frozen, self.most, self.young = make, frozen, young, {}
+        self.used = self.young_used = 0
 
     def __missing__(self, key: str) -> bytes:
         found = self.young.get(key)
@@ -54,12 +58,16 @@ class Bounded(dict):
         return found
 
     def store(self, key: str, value: bytes) -> None:
-        if len(self) < self.frozen:
+        size = self.ENTRY + len(key) + len(value)
+        if self.used + size <= self.frozen:
             self[key] = value
+            self.used += size
         elif self.most:
-            if len(self.young) >= self.most:
+            if self.young_used >= self.most:
                 self.young.clear()
+                self.young_used = 0
             self.young[key] = value
+            self.young_used += size
 
     def unknown(self, keys: Iterable[str]) -> set[str]:
         return {k for k in keys if k not in self and k not in self.young}

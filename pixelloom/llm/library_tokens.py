@@ -22,10 +22,11 @@ BYTE_SPELLING = _spelling()
 
 
 class LibraryEncoder:
-    """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` with special strings as plain text.
+    """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
     A chunk goes through the library's own normalizer, pre-tokenizer and model, in that order; texts with unusual
-    white space go through ``encode`` whole.
+    white space, and those that hold an added token's string (which the library maps to its id), go through ``encode``
+    whole.
     """
 
     def __init__(self, path: str):
@@ -33,16 +34,16 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.vocab_size = self.tok.get_vocab_size()
         self.normalizer, self.pre, self.model = self.tok.normalizer, self.tok.pre_tokenizer, self.tok.model
-        self.words = Bounded(self._word, 500_000, 150_000)
-        self.cache = Bounded(self._key, 250_000, 0)
+        self.words = Bounded(self._word, 24 << 20, 8 << 20)
+        self.cache = Bounded(self._key, 24 << 20, 0)
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        keys = chunks(text)
+        keys = None if any(t in text for t in self.added) else chunks(text)
         return self._whole(text) if keys is None else b"".join(map(self.cache.__getitem__, keys))
 
     def _whole(self, text: str) -> bytes:

@@ -1,8 +1,13 @@
 """Shared storage and small helpers that every operator uses.
 
 Intermediate tables go below ``spark.checkpoint.dir``, which the driver and all executors reach; a temporary folder
-is used only where that setting is absent, as in tests.  Files are written under a name of the attempt and become
-visible only through the rows of tasks that ended well, so lost executors and repeated attempts do no harm.
+is used only where that setting is absent and Spark runs in one process, as in tests.  Files are written under a name
+of the attempt and become visible only through the rows of tasks that ended well, so lost executors and repeated
+attempts do no harm.
+
+Operators that must bring a verdict back to whole rows write the rows once as block files (``blocks``).  A row is
+then known by its block and its place in it, whatever its columns are called and however often its doc_id occurs;
+verdicts travel to the block, and rows never travel to the verdicts.
 """
 
 from __future__ import annotations
@@ -13,16 +18,21 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python operator handles at once inside one Arrow batch.
 SLICE_BYTES = 1 << 21
+#: Bytes of text of a block file.
+BLOCK_BYTES = 12 << 20
 _RESIDENT: dict[str, object] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -35,14 +45,23 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for one run of an operator; removed when the driver ends."""
+    """A new folder for one run of an operator; removed when the driver ends, or with the ``scratch`` around it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    # a path without a scheme lies in Spark's default file system
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     fs, local = filesystem(path)
     fs.create_dir(local, recursive=True)
-    atexit.register(_remove, path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    else:
+        atexit.register(_remove, path)
     return path
 
 
@@ -54,6 +73,17 @@ def _remove(path: str) -> None:
         pass
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What operators store inside goes at its end: for callers that have written the result somewhere else by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _remove(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to shared storage and read it back, which cuts the lineage and keeps it from being made twice."""
     path = shared_dir(df.sparkSession, name) + "/table"
@@ -92,12 +122,89 @@ def text_hash(column: str = "text") -> Column:
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Runs of rows holding about ``size`` bytes of text (one row at least), each with its texts as a list."""
     for batch in batches:
-        column = batch.column(batch.schema.names.index("text"))
-        lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
-        start = total = 0
-        for i, n in enumerate(lengths):
-            total += int(n or 0)
-            if total >= size or i + 1 == len(lengths):
-                part = batch.slice(start, i + 1 - start)
-                yield part, [x or "" for x in column.slice(start, i + 1 - start).to_pylist()]
-                start, total = i + 1, 0
+        column = batch.schema.names.index("text")
+        for part in _cut(batch, column, size):
+            yield part, [x or "" for x in part.column(column).to_pylist()]
+
+
+def blocks(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """Write the rows, with all their columns, as Arrow files of about ``BLOCK_BYTES`` of text; (blk, path, n, size) of each file."""
+    folder = shared_dir(docs.sparkSession, name)
+    column = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
+        task = TaskContext.get()
+        fs, root = filesystem(folder)
+        made: list[dict] = []
+        files: list = []
+
+        def end() -> pa.RecordBatch:
+            for f in reversed(files):
+                f.close()
+            files.clear()
+            return pa.RecordBatch.from_pylist([made[-1]])
+
+        for batch in batches:
+            for rows in _cut(batch, column, SLICE_BYTES):
+                if not files:
+                    path = f"{task.partitionId():08d}-{task.taskAttemptId()}-{len(made)}.arrow"
+                    made.append({"blk": task.partitionId() << 24 | len(made), "path": f"{folder}/{path}", "n": 0, "size": 0})
+                    files.append(fs.open_output_stream(f"{root}/{path}"))
+                    files.append(pa.ipc.new_file(files[0], rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")))
+                files[1].write_batch(rows)
+                made[-1]["n"] += rows.num_rows
+                made[-1]["size"] += text_bytes(rows.column(column))
+                if made[-1]["size"] >= BLOCK_BYTES:
+                    yield end()
+        if files:
+            yield end()
+
+    return staged(docs.mapInArrow(run, "blk long, path string, n long, size long"), f"{name}-list")
+
+
+def text_bytes(column: pa.Array) -> int:
+    return int(pa.compute.sum(pa.compute.binary_length(column)).as_py() or 0)
+
+
+def read_block(path: str) -> pa.Table:
+    fs, local = filesystem(path)
+    with fs.open_input_file(local) as f:
+        return pa.ipc.open_file(f).read_all()
+
+
+def block_texts(table: pa.Table, column: int) -> list[bytes]:
+    """The texts of a block as UTF-8, null as empty."""
+    return [x or b"" for x in table.column(column).cast(pa.binary()).to_pylist()]
+
+
+def dealt(table: DataFrame, least: int = 1) -> DataFrame:
+    """A table of blocks in tasks of about ``least`` blocks, four a core where there are so many."""
+    cores = max(table.sparkSession.sparkContext.defaultParallelism, 2)
+    return table.repartition(max(4 * cores, table.count() // max(least, 8)))
+
+
+def with_text(table: pa.Table, column: int, texts: Iterator[str | None]) -> Iterator[pa.RecordBatch]:
+    """The block's rows with other texts, in batches of about ``SLICE_BYTES``."""
+    own: list[str | None] = []
+    start = size = 0
+    for i, t in enumerate(texts):
+        own.append(t)
+        size += len(t or "")
+        if size >= SLICE_BYTES or i + 1 == table.num_rows:
+            part = table.slice(start, len(own)).combine_chunks()
+            arrays = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in part.columns]
+            arrays[column] = pa.array(own, table.schema.field(column).type)
+            yield pa.RecordBatch.from_arrays(arrays, names=table.schema.names)
+            start, size, own = i + 1, 0, []
+
+
+def _cut(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows holding about ``size`` bytes of text, one row at least."""
+    lengths = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(lengths):
+        total += 0 if n is None or n != n else int(n)
+        if total >= size or i + 1 == len(lengths):
+            yield batch.slice(start, i + 1 - start)
+            start, total = i + 1, 0

@@ -1,26 +1,25 @@
-"""Operator 1: removal of long repeated passages with logarithmic families of sparse suffix arrays.
-
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller doc_id.  Sorting
-every suffix of the corpus would move many times its size, so the arrays are sparse: of each window of ``LENGTH``
-bytes the ``GRAM``-byte string of least hash (its anchor) is taken, and two equal windows always have equal anchors.
-Suffixes are ordered by 64-bit fingerprints of their first bytes instead of the bytes themselves.  Three rounds:
-
-1. anchors: which occur in two documents at all; everything else is settled (no window around them repeats);
-2. runs: the windows that share one anchor occurrence lie in at most ``2 * LENGTH - GRAM`` bytes; equal runs match as a whole, and an
-   anchor with one kind of run needs no more;
-3. windows: where an anchor has several kinds of runs, the first holder of each kind sends the bytes of its run to the
-   partition of the anchor, which compares all windows in it; for the few anchors with more than ``HEAVY`` kinds of
-   runs the windows themselves are sent, each to a partition of its own, so that no anchor fills a partition.
-
-Texts are first written as block files in shared storage.  In each round a block sends every distinct fingerprint
-once, with its least doc_id, to the partition of the fingerprint, and gets one bit back for each; so a passage that a
-third of all documents share costs one entry a block, and no text is shuffled at all.  A partition keeps a
-logarithmic index: a batch becomes a sorted array, is merge-scanned against those that are there, and arrays of equal
-size are merged.
+"""Operator 1: removal of long repeated passages with logarithmic families of suffix arrays.
+
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller doc_id.  Texts are
+first written as block files in shared storage, and no text is shuffled but what may repeat.  Two rounds:
+
+1. filter: of each window of ``LENGTH`` bytes the ``GRAM``-byte string of least hash (its anchor) is taken; two equal
+   windows always have equal anchors.  Blocks send 32 bits of every distinct anchor to the partition of its hash and get
+   one bit back: may another document have it?  Equal hashes of different anchors only let more through.
+2. match: the suffixes that start in windows of a repeated anchor go, as bytes, to the partition of the anchor: the
+   consecutive windows that share one anchor as one string of at most ``2 * LENGTH - GRAM`` bytes, equal strings of a block
+   once with their least doc_id.  The partition feeds them in batches, ascending by doc_id, to a logarithmic family of
+   suffix arrays (``suffixarray``): a batch gets its array, is merge-scanned against the levels, and equal-sized levels
+   merge.  One bit a suffix goes back.  An anchor with more than ``HEAVY`` different strings would fill a partition,
+   so its windows are dealt one by one by their own hash.
+
+Hashes only choose partitions and let suffixes through the filter; every match is one of bytes.  Texts that are equal
+as a whole are told by SHA-256.  Rows of the exchanges hold a block's keys for one partition; partitions grow with the
+bytes (``PARTITION`` each), so the memory of a task does not grow with the input.
 
 Rows: null text counts as empty; a null doc_id counts as larger than any other; rows that share a doc_id remove
 nothing from each other; of two equal texts the one with the larger doc_id goes whole if it has ``LENGTH`` bytes;
-extra columns are ignored; an empty table gives an empty table.
+extra columns are ignored, or pass through where rows are rewritten; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,26 +29,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm import store
+from pixelloom.llm.suffixarray import LAST, LENGTH, Batch, Family
 
-LENGTH, GRAM, HEAVY = 50, 24, 2048
-#: Bytes of text of a block file, and of one piece inside it that numpy handles at once.
-BLOCK, PIECE = 12 << 20, 1 << 19
-LAST = np.int64((1 << 63) - 1)
-ANCHOR, KINDS_OF_RUN, RUN, WINDOW, BYTES, CROWDED = 0, 1, 2, 3, 4, 5
+GRAM, HEAVY = 24, 2048
+#: Bytes of text that numpy handles at once; bytes of all texts a partition; suffixes of a batch.
+PIECE, PARTITION, BATCH = 1 << 16, 4 << 20, 1 << 18
 _U = np.uint64
 
 
-def _mix(x: np.ndarray, c: int) -> np.ndarray:
-    x = (x ^ (x >> _U(31))) * _U(c)
-    x ^= x >> _U(29)
-    x *= _U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> _U(32))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(29))
 
 
 def _words(buf: np.ndarray) -> np.ndarray:
@@ -60,19 +55,25 @@ def _words(buf: np.ndarray) -> np.ndarray:
     return a
 
 
-def _prints(w: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Fingerprints of the LENGTH bytes from each position."""
-    out = np.zeros(len(at), dtype=_U)
-    for i, off in enumerate([*range(0, LENGTH - 8, 8), LENGTH - 8]):
-        out += _mix(w[at + off], 0x9E3779B97F4A7C15 + 2 * i)
-    return _mix(out, 0xD6E8FEB86659FD93)
+def _hash(w: np.ndarray, at: np.ndarray | slice, length: int) -> np.ndarray:
+    """Hashes of the ``length`` bytes from each position of the words."""
+    offsets = [*range(0, length - 8, 8), length - 8]
+    if isinstance(at, slice):
+        parts = [w[off : off + at.stop] for off in offsets]
+    else:
+        parts = [w[at + off] for off in offsets]
+    out = parts[0] * _U(0x9E3779B97F4A7C15)
+    for i, p in enumerate(parts[1:], start=1):
+        out ^= out >> _U(32)
+        out *= _U(0xD6E8FEB86659FD93 + 2 * i)
+        out += p
+    return _mix(out * _U(0x94D049BB133111EB))
 
 
-class Block:
-    """The runs of a block: h (anchor), r (whole run), doc, first and last window start; sorted by nothing."""
+class Runs:
+    """Runs of windows of a block that share one anchor occurrence: h (its hash), r (hash of the run), doc, first and last start."""
 
     def __init__(self, texts: list[bytes], skip: np.ndarray):
-        self.texts = texts
         found: list[tuple[np.ndarray, ...]] = []
         buf: list[bytes] = []
         docs: list[tuple[int, int]] = []
@@ -90,7 +91,7 @@ class Block:
                     buf, docs, size = [], [], 0
         if buf:
             found.append(self._runs(buf, docs))
-        kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
+        kinds = (np.uint64, np.uint64, np.int32, np.int32, np.int32)
         columns = list(zip(*found, strict=True)) if found else [()] * 5
         self.h, self.r, self.doc, self.first, self.last = (np.concatenate(c).astype(k) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True))
 
@@ -99,11 +100,8 @@ class Block:
         sizes = np.array([len(p) for p in parts])
         begins = np.cumsum(sizes) - sizes
         w = _words(np.frombuffer(b"".join(parts), dtype=np.uint8))
-        n = len(w) - (GRAM - 8)
-        gram = w[:n].copy()
-        for off in (*range(8, GRAM - 8, 8), GRAM - 8):
-            gram = _mix(gram, 0x9E3779B97F4A7C15) + w[off : off + n]
-        gram = _mix(gram, 0xC2B2AE3D27D4EB4F)
+        gram = _hash(w, slice(len(w) - (GRAM - 8)), GRAM)
+        # the least hash in reach of each window, with its place in the low bits
         m = (gram & ~_U((1 << 24) - 1)) | np.arange(len(gram), dtype=_U)
         span, reach = LENGTH - GRAM + 1, 1
         while 2 * reach <= span:
@@ -120,328 +118,268 @@ class Block:
         end = np.ones(len(anchor), dtype=bool)
         end[:-1] = new[1:] | ~valid[1:]
         ends = np.nonzero(end & valid)[0]
-        run = _mix(_prints(w, starts) + _mix(_prints(w, ends) + (ends - starts).astype(_U), 0x94D049BB133111EB), 0x9E3779B97F4A7C15)
+        run = _mix(_hash(w, starts, LENGTH) * _U(3) + _hash(w, ends, LENGTH) + (ends - starts).astype(_U))
         which = part[starts]
         doc, origin = np.array([d for d, _ in docs]), np.array([s for _, s in docs]) - begins
-        return gram[anchor[starts]].view(np.int64), run.view(np.int64), doc[which], starts + origin[which], ends + origin[which]
-
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprint, document and start of every window of the runs (indices)."""
-        out, docs, starts = [], [], []
-        order = runs[np.argsort(self.doc[runs], kind="stable")]
-        for own in np.split(order, np.nonzero(np.diff(self.doc[order]))[0] + 1) if len(order) else []:
-            d = int(self.doc[own[0]])
-            for piece in np.split(own, range(4096, len(own), 4096)):
-                lo, hi = int(self.first[piece].min()), int(self.last[piece].max()) + LENGTH
-                w = _words(np.frombuffer(self.texts[d], dtype=np.uint8)[lo:hi])
-                n = self.last[piece] - self.first[piece] + 1
-                at = np.repeat(self.first[piece] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.append(_prints(w, at - lo).view(np.int64))
-                docs.append(np.full(len(at), d))
-                starts.append(at)
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(out), np.concatenate(docs), np.concatenate(starts)
-
-
-class LogIndex:
-    """Sorted arrays of (key, least value, number of holders), of geometrically growing size."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, values: np.ndarray, count: np.ndarray) -> None:
-        """A batch of distinct sorted keys; it swallows every level that isn't larger than itself."""
-        while self.levels and len(self.levels[-1][0]) <= len(keys):
-            k, v, c = self.levels.pop()
-            k, v, c = np.concatenate([k, keys]), np.concatenate([v, values]), np.concatenate([c, count])
-            order = np.argsort(k, kind="stable")
-            k, v, c = k[order], v[order], c[order]
-            at = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0] if len(k) else np.zeros(0, np.int64)
-            keys, values, count = k[at], np.minimum.reduceat(v, at) if len(at) else v, np.add.reduceat(c, at) if len(at) else c
-        self.levels.append((keys, values, count))
-
-    def scan(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least value and number of holders of each key over all levels."""
-        least, count = np.full(len(keys), LAST), np.zeros(len(keys), dtype=np.int64)
-        for k, v, c in self.levels:
-            if len(k):
-                at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-                hit = k[at] == keys
-                least[hit] = np.minimum(least[hit], v[at[hit]])
-                count[hit] += c[at[hit]]
-        return least, count
-
-
-def _by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the least value of each, and where each row's key is."""
-    distinct, at = np.unique(keys, return_inverse=True)
-    least = np.full(len(distinct), LAST)
-    np.minimum.at(least, at, values)
-    return distinct, least, at
-
-
-def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys' order by partition, and where each partition begins in it."""
-    p = (_mix(keys.view(_U), 0xC2B2AE3D27D4EB4F) >> _U(24)).astype(np.int64) % parts
-    order = np.argsort(p, kind="stable")
-    return order, np.searchsorted(p[order], np.arange(parts + 1))
-
-
-class _Asked:
-    """One block's distinct keys of one kind, and the bits that came back for them."""
-
-    def __init__(self, kind: int, keys: np.ndarray, values: np.ndarray, parts: int, replies: list[dict] | None):
-        self.kind, self.keys, self.values = kind, keys, values
-        self.order, self.begins = _parts(keys, parts)
-        self.yes = np.zeros(len(keys), dtype=bool)
-        for r in replies or []:
-            if r["kind"] == kind:
-                own = self.order[self.begins[r["p"]] : self.begins[r["p"] + 1]]
-                self.yes[own] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: len(own)].astype(bool)
-
-    def rows(self, blk: str) -> Iterator[tuple]:
-        for p in np.nonzero(np.diff(self.begins))[0].tolist():
-            own = self.order[self.begins[p] : self.begins[p + 1]]
-            yield p, blk, self.kind, self.keys[own].tobytes(), self.values[own].tobytes()
+        return gram[anchor[starts]], run, doc[which], starts + origin[which], ends + origin[which]
+
 
+def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((_mix(keys * _U(0xC2B2AE3D27D4EB4F)) >> _U(24)) % _U(parts)).astype(np.int64)
 
-class _Work:
-    """What a block asks in each round, given the replies of the rounds before."""
 
-    def __init__(self, path: str, copies: list[int] | None, parts: int):
+def _bits(replies: list[dict] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for r in replies or []:
+        yield r["p"], np.unpackbits(np.frombuffer(r["yes"], np.uint8)), np.unpackbits(np.frombuffer(r["crowded"] or b"", np.uint8))
+
+
+class Work:
+    """A block with the replies of the rounds so far."""
+
+    def __init__(self, row: dict, column: int, id_column: int, parts: int):
         store.vacate()
-        fs, local = store.filesystem(path)
-        with fs.open_input_file(local) as f:
-            table = pa.ipc.open_file(f).read_all()
-        self.ids = table.column("doc_id")
+        self.table, self.column, self.parts = store.read_block(row["path"]), column, parts
+        self.ids = self.table.column(id_column).cast(pa.int64())
         self.order = self.ids.fill_null(int(LAST)).to_numpy().astype(np.int64)
-        texts = table.column("text").to_pylist()
-        self.copy = np.zeros(len(texts), dtype=bool)
-        self.copy[np.array(copies or [], dtype=np.int64)] = True
-        self.block, self.parts = Block(texts, self.copy), parts
-
-    def anchors(self, replies: list[dict] | None) -> _Asked:
-        b = self.block
-        keys, at = np.unique(b.h, return_inverse=True)
+        self.texts = store.block_texts(self.table, column)
+        self.copy = np.zeros(len(self.texts), dtype=bool)
+        self.copy[np.array(row["copies"] or [], dtype=np.int64)] = True
+        self.runs = Runs(self.texts, self.copy)
+        self._anchors()
+
+    def _anchors(self) -> None:
+        """The distinct anchors by partition: 32 bits each, kinds of runs (to 127), and whether two documents here have it."""
+        runs = self.runs
+        keys, at = np.unique(runs.h, return_inverse=True)
+        kinds = np.bincount(at[np.unique(_mix(runs.h ^ (runs.r * _U(0x9E3779B97F4A7C15))), return_index=True)[1]], minlength=len(keys))
         low, high = np.full(len(keys), LAST), np.full(len(keys), np.int64(-1))
-        np.minimum.at(low, at, b.doc)
-        np.maximum.at(high, at, b.doc)
-        asked = _Asked(ANCHOR, keys, (low != high).astype(np.int8), self.parts, replies)
-        self.live = np.nonzero(asked.yes[at])[0]
-        return asked
-
-    def runs(self, replies: list[dict] | None) -> list[_Asked]:
-        b, live = self.block, self.live
-        keys, least, run_at = _by_key(b.r[live], self.order[b.doc[live]])
-        run = _Asked(RUN, keys, least, self.parts, replies)
-        # one kind of run here: 31 bits of it; several: how many, negated
-        pairs = np.unique(np.stack([b.h[live], b.r[live]]), axis=1) if len(live) else np.zeros((2, 0), np.int64)
-        anchors, first, count = np.unique(pairs[0], return_index=True, return_counts=True)
-        kinds = np.where(count == 1, pairs[1][first] & 0x7FFFFFFF, -count).astype(np.int32)
-        anchor_at = np.searchsorted(anchors, b.h[live])
-        asked = _Asked(KINDS_OF_RUN, anchors, kinds, self.parts, replies)
-        crowded = _Asked(CROWDED, anchors, kinds, self.parts, replies).yes[anchor_at]
-        self.covered = (self.order[b.doc[live]] > least[run_at]) | run.yes[run_at]
-        several = ~self.covered & asked.yes[anchor_at]
-        self.listed, self.sent = live[several & crowded], live[several & ~crowded]
-        return [run, asked]
-
-    def windows(self, replies: list[dict] | None) -> list:
-        b = self.block
-        prints, doc, start = b.windows(self.listed)
-        keys, least, at = _by_key(prints, self.order[doc])
-        asked = _Asked(WINDOW, keys, least, self.parts, replies)
-        sent = _Sent(b, self.sent, self.order, self.parts, replies)
-        covered = (self.order[doc] > least[at]) | asked.yes[at]
-        self.w_doc, self.w_start = np.concatenate([doc[covered], sent.doc[sent.yes]]), np.concatenate([start[covered], sent.start[sent.yes]])
-        return [asked, sent]
-
-
-class _Sent:
-    """Runs of a block sent as bytes to their anchors' partitions: one bit comes back for each of their windows."""
-
-    def __init__(self, block: Block, runs: np.ndarray, order: np.ndarray, parts: int, replies: list[dict] | None):
-        by_part, self.begins = _parts(block.h[runs], parts)
-        self.runs, self.block, self.order = runs[by_part], block, order
-        n = (block.last - block.first + 1)[self.runs].astype(np.int64)
-        self.ends = np.concatenate([[0], np.cumsum(n)])
-        self.doc = np.repeat(block.doc[self.runs], n)
-        self.start = np.repeat(block.first[self.runs] - self.ends[:-1], n) + np.arange(self.ends[-1])
-        self.yes = np.zeros(self.ends[-1], dtype=bool)
-        for r in replies or []:
-            if r["kind"] == BYTES:
-                a, z = self.ends[self.begins[r["p"]]], self.ends[self.begins[r["p"] + 1]]
-                self.yes[a:z] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: z - a].astype(bool)
-
-    def rows(self, blk: str) -> Iterator[tuple]:
-        b = self.block
+        np.minimum.at(low, at, runs.doc)
+        np.maximum.at(high, at, runs.doc)
+        p = _parts(keys, self.parts)
+        by = np.argsort(p, kind="stable")
+        self.anchor_part, self.anchor_at = p, np.empty(len(keys), np.int64)
+        self.anchor_at[by] = np.arange(len(by))
+        self.anchor_at, self.begins = self.anchor_at[at], np.searchsorted(p[by], np.arange(self.parts + 1))
+        self.sent_keys = (keys[by] & _U(0xFFFFFFFF)).astype(np.uint32)
+        self.sent_kinds = (np.minimum(kinds, 127) | ((low != high) << 7)).astype(np.uint8)[by]
+
+    def anchor_rows(self) -> Iterator[tuple[int, bytes]]:
         for p in np.nonzero(np.diff(self.begins))[0].tolist():
-            own = self.runs[self.begins[p] : self.begins[p + 1]]
-            size = (b.last - b.first + LENGTH)[own]
-            raw = b"".join(b.texts[d][s : s + n] for d, s, n in zip(b.doc[own].tolist(), b.first[own].tolist(), size.tolist(), strict=True))
-            yield p, blk, BYTES, size.astype(np.uint8).tobytes() + raw, self.order[b.doc[own]].tobytes()
-
-
-def _sent_windows(keys: bytes, vals: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and doc_ids of all windows of the runs in one payload."""
-    order = np.frombuffer(vals, np.int64)
-    size = np.frombuffer(keys, np.uint8, count=len(order)).astype(np.int64)
-    w = _words(np.frombuffer(keys, np.uint8, offset=len(order)))
-    n = size - (LENGTH - 1)
-    at = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return _prints(w, at).view(np.int64), np.repeat(order, n)
+            a, z = self.begins[p], self.begins[p + 1]
+            yield p, self.sent_keys[a:z].tobytes() + self.sent_kinds[a:z].tobytes()
+
+    def match(self, replies: list[dict] | None) -> Pieces:
+        yes, crowded = np.zeros(len(self.sent_keys), dtype=bool), np.zeros(len(self.sent_keys), dtype=bool)
+        for p, y, c in _bits(replies):
+            a, z = self.begins[p], self.begins[p + 1]
+            yes[a:z] = y[: z - a]
+            if len(c):
+                crowded[a:z] = c[: z - a]
+        live = yes[self.anchor_at]
+        one = live & crowded[self.anchor_at]
+        return Pieces(self, np.nonzero(live & ~one)[0], np.nonzero(one)[0])
+
+
+class Pieces:
+    """What a block sends to the second round: distinct strings by partition, each with its least document."""
+
+    def __init__(self, work: Work, whole: np.ndarray, single: np.ndarray):
+        runs, texts = work.runs, work.texts
+        n = (runs.last - runs.first + 1)[single]
+        at = np.repeat(runs.first[single] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        doc = np.concatenate([runs.doc[whole], np.repeat(runs.doc[single], n)])
+        start = np.concatenate([runs.first[whole], at]).astype(np.int64)
+        size = np.concatenate([(runs.last - runs.first + LENGTH)[whole], np.full(len(at), LENGTH)]).astype(np.int64)
+        part = _parts(np.concatenate([runs.h[whole], _window_hash(texts, doc[len(whole) :], at)]), work.parts)
+        by = np.argsort(part, kind="stable")
+        self.work, self.doc, self.start, self.size, part = work, doc[by], start[by], size[by], part[by]
+        known: dict[bytes, int] = {}  # equal strings have equal anchors, so they are in one partition
+        self.of = np.fromiter((known.setdefault(texts[d][s : s + z], len(known)) for d, s, z in zip(self.doc.tolist(), self.start.tolist(), self.size.tolist(), strict=True)), np.int64, len(part))
+        self.least = np.full(len(known), LAST)
+        np.minimum.at(self.least, self.of, work.order[self.doc])
+        self.strings = list(known)
+        first = np.unique(self.of, return_index=True)[1]
+        self.begins = np.searchsorted(part[first], np.arange(work.parts + 1))
+        counts = self.size[first] - (LENGTH - 1)
+        self.suffixes = np.concatenate([[0], np.cumsum(counts)])
+
+    def rows(self) -> Iterator[tuple[int, bytes]]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for p in np.nonzero(np.diff(self.begins))[0].tolist():
+            a, z = self.begins[p], self.begins[p + 1]
+            sizes = np.fromiter(map(len, self.strings[a:z]), np.uint8, z - a)
+            yield p, int(z - a).to_bytes(4, "little") + pack.compress(self.least[a:z].tobytes() + sizes.tobytes() + b"".join(self.strings[a:z]))
+
+    def covered(self, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, start and end of what goes: every window that an earlier document has."""
+        yes = np.zeros(self.suffixes[-1], dtype=bool)
+        for p, y, _ in _bits(replies):
+            a, z = self.suffixes[self.begins[p]], self.suffixes[self.begins[p + 1]]
+            yes[a:z] = y[: z - a]
+        later = self.work.order[self.doc] > self.least[self.of]
+        n = (self.suffixes[1:] - self.suffixes[:-1])[self.of[~later]]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = yes[np.repeat(self.suffixes[self.of[~later]], n) + at]
+        begin = np.repeat(self.start[~later], n)[hit] + at[hit]
+        doc = np.concatenate([self.doc[later], np.repeat(self.doc[~later], n)[hit]])
+        return doc, np.concatenate([self.start[later], begin]), np.concatenate([(self.start + self.size)[later], begin + LENGTH])
+
+
+def _window_hash(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the window at each place; places of one document follow each other."""
+    out = np.zeros(len(doc), _U)
+    cuts = np.nonzero(np.diff(doc))[0] + 1
+    for own in np.split(np.arange(len(doc)), cuts) if len(doc) else []:
+        for piece in np.split(own, range(4096, len(own), 4096)):
+            low, high = int(at[piece].min()), int(at[piece].max()) + LENGTH
+            out[piece] = _hash(_words(np.frombuffer(texts[int(doc[piece[0]])], np.uint8)[low:high]), at[piece] - low, LENGTH)
+    return out
 
 
-PAYLOAD = "p int, blk string, kind int, keys binary, vals binary"
-REPLY = "blk string, p int, kind int, bits binary"
-REPLIES = "array<struct<p:int,kind:int,bits:binary>>"
+PAYLOAD = "p int, blk long, body binary"
+REPLY = "blk long, p int, yes binary, crowded binary"
+_REPLY = pa.schema([("blk", pa.int64()), ("p", pa.int32()), ("yes", pa.binary()), ("crowded", pa.binary())])
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    """One partition of fingerprints: index all batches, then answer each: has another document (a smaller doc_id) it?"""
+def _filter(table: pa.Table) -> pa.Table:
+    """First round: the anchors of one partition that two documents may have, and those with very many runs."""
     store.vacate()
-    index: dict[int, LogIndex] = {}
-    batches = []
-    for kind, k, v in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "vals")), strict=True):
-        family = index.setdefault(kind, LogIndex())
-        if kind == BYTES:
-            keys, values = _sent_windows(k, v)
-            distinct, least, _ = _by_key(keys, values)
-            family.add(distinct, least, np.ones(len(distinct), np.int64))
-        else:
-            keys = np.frombuffer(k, np.int64)
-            values = np.frombuffer(v, {ANCHOR: np.int8, KINDS_OF_RUN: np.int32}.get(kind, np.int64)).astype(np.int64)
-            if kind == ANCHOR:  # holders: two where the block itself has two documents
-                family.add(keys, values, values + 1)
-            elif kind == KINDS_OF_RUN:  # the largest kind as well, as the least of the negated; holders: kinds of run
-                family.add(keys, values, np.maximum(-values, 1))
-                index.setdefault(-kind, LogIndex()).add(keys, -values, np.ones(len(keys), np.int64))
-            else:
-                family.add(keys, values, np.ones(len(keys), np.int64))
-        batches.append((kind, keys, values))
-    out: dict[str, list] = {"blk": [], "p": [], "kind": [], "bits": []}
+    bodies = table.column("body").to_pylist()
+    keys = [np.frombuffer(b, np.uint32, count=len(b) // 5) for b in bodies]
+    kinds = [np.frombuffer(b, np.uint8, offset=4 * k.size) for b, k in zip(bodies, keys, strict=True)]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    every = np.concatenate(kinds).astype(np.int64)
+    yes = (np.bincount(at, weights=1 + (every >> 7)) >= 2)[at]
+    crowded = (np.bincount(at, weights=every & 127) > HEAVY)[at]
+    out: list[tuple] = []
     p = table.column("p")[0].as_py()
+    end = 0
+    for blk, k in zip(table.column("blk").to_pylist(), keys, strict=True):
+        begin, end = end, end + k.size
+        if yes[begin:end].any():
+            heavy = crowded[begin:end]
+            out.append((blk, p, np.packbits(yes[begin:end]).tobytes(), np.packbits(heavy).tobytes() if heavy.any() else None))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, _REPLY.types, strict=True)], schema=_REPLY)
 
-    def answer(blk: str, kind: int, yes: np.ndarray) -> None:
-        if yes.any():
-            for name, x in (("blk", blk), ("p", p), ("kind", kind), ("bits", np.packbits(yes).tobytes())):
-                out[name].append(x)
-
-    for blk, (kind, keys, values) in zip(table.column("blk").to_pylist(), batches, strict=True):
-        least, count = index[kind].scan(keys)
-        if kind == ANCHOR:
-            answer(blk, kind, count >= 2)
-        elif kind == KINDS_OF_RUN:
-            several = (least < 0) | (least != -index[-kind].scan(keys)[0])
-            answer(blk, kind, several)
-            answer(blk, CROWDED, several & (count > HEAVY))
-        else:
-            answer(blk, kind, least < values)
-    return pa.table(out, schema=pa.schema([("blk", pa.string()), ("p", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())]))
-
-
-def _ask(blocks: DataFrame, parts: int, name: str, round_of: Callable[[_Work, dict], list]) -> DataFrame:
-    """One round: blocks send their keys, partitions answer, and the answers join the block table."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                work = _Work(row["blk"], row["copies"], parts)
-                for asked in round_of(work, row):
-                    rows = list(asked.rows(row["blk"]))
-                    for s in range(0, len(rows), 64):
-                        columns = list(zip(*rows[s : s + 64], strict=True))
-                        kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "blk", "kind", "keys", "vals"])
 
-    replies = blocks.mapInArrow(send, PAYLOAD).groupBy("p").applyInArrow(_resolve, REPLY)
-    grouped = replies.groupBy("blk").agg(F.collect_list(F.struct("p", "kind", "bits")).alias(name))
-    return _dealt(store.staged(blocks.join(grouped, "blk", "left"), f"suffix-{name}"))
-
-
-def _dealt(blocks: DataFrame) -> DataFrame:
-    return blocks.repartition(max(blocks.sparkSession.sparkContext.defaultParallelism, 2) * 4)
-
-
-def _write_blocks(docs: DataFrame) -> DataFrame:
-    """Texts to block files in shared storage; one row a document: blk, ord, doc_id, n, h (128 bits)."""
-    folder = store.shared_dir(docs.sparkSession, "suffix-blocks")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store.vacate()
-        task = TaskContext.get()
-        fs, root = store.filesystem(folder)
-        state = {"n": 0, "size": 0, "ids": [], "texts": []}
-
-        def flush() -> pa.RecordBatch:
-            path = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{state['n']}.arrow"
-            local = store.filesystem(path)[1]
-            ids, texts = pa.array(state["ids"], pa.int64()), state["texts"]
-            table = pa.table({"doc_id": ids, "text": pa.array(texts, pa.binary())})
-            with fs.open_output_stream(local) as f, pa.ipc.new_file(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([path] * len(texts)), pa.array(range(len(texts)), pa.int32()), ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())],
-                names=["blk", "ord", "doc_id", "n", "h"],
-            )
-            state.update(n=state["n"] + 1, size=0, ids=[], texts=[])
-            return out
-
-        for rows, texts in store.slices(batches):
-            for doc_id, text in zip(rows.column(0).to_pylist(), texts, strict=True):
-                raw = text.encode()
-                state["ids"].append(doc_id)
-                state["texts"].append(raw)
-                state["size"] += len(raw)
-                if state["size"] >= BLOCK:
-                    yield flush()
-        if state["texts"]:
-            yield flush()
-
-    return store.staged(store.texts(docs).mapInArrow(run, "blk string, ord int, doc_id long, n long, h binary"), "suffix-meta")
-
-
-def _removals(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The block table with the answers of all rounds, and the number of partitions they were dealt to."""
-    spark = docs.sparkSession
-    meta = _write_blocks(docs)
-    order = F.coalesce("doc_id", F.lit(int(LAST)))
-    first = meta.groupBy("h").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "least")
-    first = store.staged(first, "suffix-copies")
-    copies = meta.join(first, "h").filter((order > F.col("least")) & (F.col("n") >= LENGTH))
-    copies = copies.groupBy("blk").agg(F.collect_list("ord").alias("copies"))
-    blocks = store.staged(meta.select("blk").distinct().join(copies, "blk", "left"), "suffix-blocks-table")
-    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count())
-
-    def second(w: _Work, row: dict) -> list[_Asked]:
-        w.anchors(row["r1"])
-        return w.runs(None)
-
-    def third(w: _Work, row: dict) -> list:
-        w.anchors(row["r1"])
-        w.runs(row["r2"])
-        return w.windows(None)
-
-    one = _ask(_dealt(blocks), parts, "r1", lambda w, row: [w.anchors(None)])
-    two = _ask(one, parts, "r2", second)
-    return _ask(two, parts, "r3", third), parts
-
-
-def _spans(work: _Work, row: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+def _match(table: pa.Table) -> pa.Table:
+    """Second round: which suffixes of one partition an earlier document has, by one family of suffix arrays."""
+    store.vacate()
+    unpack = zstandard.ZstdDecompressor()
+    least, sizes, raw = [], [], []
+    for body in table.column("body").to_pylist():
+        n, plain = int.from_bytes(body[:4], "little"), unpack.decompress(body[4:])
+        least.append(np.frombuffer(plain, np.int64, count=n))
+        sizes.append(np.frombuffer(plain, np.uint8, count=n, offset=8 * n).astype(np.int64))
+        raw.append(plain[9 * n :])
+    text = np.frombuffer(b"".join(raw), np.uint8)
+    del raw
+    counts = [int((s - (LENGTH - 1)).sum()) for s in sizes]
+    order, size = np.concatenate(least), np.concatenate(sizes)
+    n = size - (LENGTH - 1)
+    begin, first = np.cumsum(size) - size, np.cumsum(n) - n
+    yes = np.zeros(int(n.sum()), dtype=bool)
+    family = Family()
+    by = np.argsort(order, kind="stable")
+    cuts = np.searchsorted(np.cumsum(n[by]), np.arange(BATCH, int(n.sum()), BATCH))
+    for own in np.split(by, cuts):
+        if len(own):
+            step = np.arange(n[own].sum()) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+            whose = np.repeat(order[own], n[own])
+            yes[np.repeat(first[own], n[own]) + step] = family.earlier(Batch(text, np.repeat(begin[own], n[own]) + step, whose), whose)
+    out, end, p = [], 0, table.column("p")[0].as_py()
+    for blk, c in zip(table.column("blk").to_pylist(), counts, strict=True):
+        start, end = end, end + c
+        if yes[start:end].any():
+            out.append((blk, p, np.packbits(yes[start:end]).tobytes(), None))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, _REPLY.types, strict=True)], schema=_REPLY)
+
+
+class Removals:
+    """The documents as block files, and the answers of both rounds."""
+
+    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id"):
+        self.schema = docs.schema
+        self.column, self.key = docs.columns.index(text), docs.columns.index(key)
+        blocks = self._copies(store.blocks(docs, "suffix-blocks", text))
+        wanted = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        size = blocks.agg(F.sum("size")).first()[0] or 0
+        self.parts = max(2 * wanted, size // PARTITION)
+        one = self._ask(blocks, "r1", lambda w, row: w.anchor_rows(), _filter)
+        self.blocks = self._ask(one, "r2", lambda w, row: w.match(row["r1"]).rows(), _match)
+
+    def _copies(self, blocks: DataFrame) -> DataFrame:
+        """The block table with the rows of each that repeat the whole text of a document with a smaller doc_id."""
+        column, key = self.column, self.key
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    table = store.read_block(row["path"])
+                    texts = store.block_texts(table, column)
+                    ids = table.column(key).cast(pa.int64()).fill_null(int(LAST)).combine_chunks()
+                    long = [i for i, t in enumerate(texts) if len(t) >= LENGTH]
+                    digest = [hashlib.sha256(texts[i]).digest() for i in long]
+                    at = pa.array(long, pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array([row["blk"]] * len(long), pa.int64()), at, ids.take(at), pa.array(digest, pa.binary())], names=["blk", "row", "place", "h"])
+
+        meta = store.staged(store.dealt(blocks).mapInArrow(run, "blk long, row int, place long, h binary"), "suffix-meta")
+        first = meta.groupBy("h").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "least")
+        first = store.staged(first, "suffix-copies")  # written, so that the join can split a text that very many rows have
+        copies = meta.join(first, "h").filter("place > least").groupBy("blk").agg(F.collect_list("row").alias("copies"))
+        return store.staged(blocks.join(copies, "blk", "left"), "suffix-table")
+
+    def _ask(self, blocks: DataFrame, name: str, rows_of: Callable[[Work, dict], Iterator], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
+        """One round: blocks send rows to partitions, partitions answer, and the answers join the block table."""
+        work = self._work()
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    rows: list[tuple[int, bytes]] = []
+                    size = 0
+                    for p, body in rows_of(work(row), row):
+                        rows.append((p, body))
+                        size += len(body)
+                        if size >= store.SLICE_BYTES:
+                            yield _payload(row["blk"], rows)
+                            rows, size = [], 0
+                    if rows:
+                        yield _payload(row["blk"], rows)
+
+        replies = store.dealt(blocks).mapInArrow(send, PAYLOAD).groupBy("p").applyInArrow(answer, REPLY)
+        grouped = replies.groupBy("blk").agg(F.collect_list(F.struct("p", "yes", "crowded")).alias(name))
+        return store.staged(blocks.join(grouped, "blk", "left"), f"suffix-{name}")
+
+    def _work(self) -> Callable[[dict], Work]:
+        column, key, parts = self.column, self.key, self.parts
+        return lambda row: Work(row, column, key, parts)
+
+    def each(self, rows_of: Callable[[Work, list[tuple[np.ndarray, np.ndarray]]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+        """The rows that ``rows_of`` makes of each block and its removed spans."""
+        work = self._work()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    own = work(row)
+                    yield from rows_of(own, _spans(own, row))
+
+        return store.dealt(self.blocks).mapInArrow(run, schema)
+
+
+def _payload(blk: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([blk] * len(rows), pa.int64()), pa.array([body for _, body in rows], pa.binary())], names=["p", "blk", "body"])
+
+
+def _spans(work: Work, row: dict) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each document of the block the starts and ends of its maximal removed runs of bytes."""
-    work.anchors(row["r1"])
-    work.runs(row["r2"])
-    work.windows(row["r3"])
-    b, live = work.block, work.live[work.covered]
-    doc = np.concatenate([b.doc[live], work.w_doc])
-    start = np.concatenate([b.first[live], work.w_start])
-    end = np.concatenate([b.last[live] + LENGTH, work.w_start + LENGTH])
+    doc, start, end = work.match(row["r1"]).covered(row["r2"])
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
-    cuts = np.searchsorted(doc, np.arange(len(b.texts) + 1))
+    cuts = np.searchsorted(doc, np.arange(len(work.texts) + 1))
     out = []
-    for d, text in enumerate(b.texts):
+    for d, text in enumerate(work.texts):
         s, e = start[cuts[d] : cuts[d + 1]], end[cuts[d] : cuts[d + 1]]
         if work.copy[d]:
             s, e = np.array([0]), np.array([len(text)])
@@ -458,38 +396,58 @@ def _kept(text: bytes, s: np.ndarray, e: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, starts, ends (maximal removed runs of bytes), kept (the remaining bytes), kept_text of every document.
+def rewritten(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows, all columns as they are, with the removed runs cut out of the text; a character of which a part is cut goes whole.
 
-    A run may cut through a character; ``kept_text`` leaves such characters out.
+    Every row is one of its own, rows that share a doc_id included.  A null text stays null.
     """
-    return _result(docs, digest=False)
+
+    def rows_of(work: Work, spans: list) -> Iterator[pa.RecordBatch]:
+        old = work.table.column(work.column).to_pylist()
+        new = (t if not len(s) else _kept(raw, s, e).decode("utf-8", "ignore") for t, raw, (s, e) in zip(old, work.texts, spans, strict=True))
+        yield from store.with_text(work.table, work.column, new)
+
+    found = Removals(docs, text)
+    return found.each(rows_of, docs.schema)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, starts, ends (maximal removed runs of bytes), kept (the remaining bytes) of every document."""
+
+    def rows_of(work: Work, spans: list) -> Iterator[pa.RecordBatch]:
+        ids, size, begin = work.ids.combine_chunks(), 0, 0
+        for i, t in enumerate(work.texts):
+            size += len(t)
+            if size >= store.SLICE_BYTES or i + 1 == len(work.texts):
+                texts, own = work.texts[begin : i + 1], spans[begin : i + 1]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": ids.slice(begin, len(texts)),
+                        "n_bytes": pa.array(map(len, texts), pa.int64()),
+                        "starts": pa.array([s for s, _ in own], pa.list_(pa.int64())),
+                        "ends": pa.array([e for _, e in own], pa.list_(pa.int64())),
+                        "kept": pa.array([_kept(x, s, e) for x, (s, e) in zip(texts, own, strict=True)], pa.binary()),
+                    }
+                )
+                size, begin = 0, i + 1
+
+    found = Removals(store.texts(docs))
+    return found.each(rows_of, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    return _result(docs, digest=True)
-
-
-def _result(docs: DataFrame, digest: bool) -> DataFrame:
-    blocks, parts = _removals(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                work = _Work(row["blk"], row["copies"], parts)
-                spans, texts = _spans(work, row), work.block.texts
-                kept = (_kept(t, s, e) for t, (s, e) in zip(texts, spans, strict=True))
-                columns = {"doc_id": work.ids.combine_chunks(), "n_bytes": pa.array([len(t) for t in texts], pa.int64())}
-                if digest:
-                    columns |= {
-                        "n_removed": pa.array([int((e - s).sum()) for s, e in spans], pa.int64()),
-                        "n_spans": pa.array([len(s) for s, _ in spans], pa.int64()),
-                        "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
-                    }
-                else:
-                    columns |= {"starts": pa.array([s for s, _ in spans], pa.list_(pa.int64())), "ends": pa.array([e for _, e in spans], pa.list_(pa.int64())), "kept": pa.array(whole := list(kept), pa.binary()), "kept_text": pa.array([k.decode("utf-8", "ignore") for k in whole], pa.string())}
-                yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "n_removed long, n_spans long, kept_sha256 string" if digest else "starts array<long>, ends array<long>, kept binary, kept_text string"
-    return blocks.mapInArrow(run, f"doc_id long, n_bytes long, {schema}")
+    def rows_of(work: Work, spans: list) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": work.ids.combine_chunks(),
+                "n_bytes": pa.array(map(len, work.texts), pa.int64()),
+                "n_removed": pa.array([int((e - s).sum()) for s, e in spans], pa.int64()),
+                "n_spans": pa.array([len(s) for s, _ in spans], pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256(_kept(t, s, e)).hexdigest() for t, (s, e) in zip(work.texts, spans, strict=True)]),
+            }
+        )
+
+    found = Removals(store.texts(docs))
+    return found.each(rows_of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
