@@ -1,14 +1,16 @@
 """Operator 10: lines that many documents share, by range partitioning and secondary sort.
 
-Every document emits one record a distinct line key: 128-bit hash, doc_id, packed positions.  Records are dealt by
-ranges of (key, document), so that one very common line is spread over many tasks, and sorted inside each range by
-key, document and position.  A task streams its records and settles every key that lies wholly inside it, holding
-back at most ``least`` records; its first and last key may go on in the next range, so their records leave undecided
-with a partial count, and a table of at most two counts a task settles them.  The result is a compressed bitmap a
-document of the lines that stay, not text.
+Documents are written as block files; a row is known by its block and its place there.  Every row emits one record a
+distinct line key: 128-bit hash, row, number of lines, packed positions.  Records are dealt by ranges of (key, row), so
+that one very common line is spread over many tasks, and sorted inside each range by key, row and position.  A task
+streams its records and settles every key that lies wholly inside it, holding back at most ``least`` records; its first
+and last key may go on in the next range, so their records leave undecided with a partial count, and a table of at
+most two counts a task settles them.  What comes out is a compressed bitmap a document of the lines that stay, not
+text; texts are never shuffled, the bitmaps go to the blocks that hold them.
 
 Every row is a document of its own, rows that share a doc_id included.  Null or empty text is one empty line, whose
-key is empty and never dropped.  A null doc_id stays null.  Extra columns are ignored; an empty table stays empty.
+key is empty and never dropped.  A null doc_id stays null.  Extra columns are ignored, or pass through where rows are
+rewritten; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pixelloom.llm import store
 
 BLANKS = b" \t\n\x0b\x0c\r"
-RECORD = "key binary, doc_id long, h long, pos binary"
-MARKED = "kind int, key binary, doc_id long, h long, pos binary, n long"
+RECORD = "key binary, blk long, row int, lines int, pos binary"
+MARKED = f"kind int, {RECORD}, n long"
+_MARKED = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("blk", pa.int64()), ("row", pa.int32()), ("lines", pa.int32()), ("pos", pa.binary()), ("n", pa.int64())])
+_RECORD = pa.schema(list(_MARKED)[1:-1])
 DECIDED, OPEN, COUNT = 0, 1, 2
 
 
@@ -37,20 +39,29 @@ def line_keys(text: bytes) -> list[bytes]:
     return [line.strip(BLANKS).lower() for line in text.split(b"\n")]
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    store.vacate()
-    for rows, texts in store.slices(batches):
-        keys, docs, hashes, where = [], [], [], []
-        for doc_id, h, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), texts, strict=True):
-            at: dict[bytes, list[int]] = {}
-            for i, key in enumerate(line_keys(text.encode())):
-                if key:
-                    at.setdefault(key, []).append(i)
-            keys += [xxhash.xxh3_128_digest(k) for k in at]
-            where += [np.array(p, dtype="<u4").tobytes() for p in at.values()]
-            docs += [doc_id] * len(at)
-            hashes += [h] * len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(where, pa.binary())], names=["key", "doc_id", "h", "pos"])
+def _records(column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.vacate()
+        for b in batches:
+            for block in b.to_pylist():
+                rows: list[tuple] = []
+                for i, text in enumerate(store.block_texts(store.read_block(block["path"]), column)):
+                    at: dict[bytes, list[int]] = {}
+                    keys = line_keys(text)
+                    for line, key in enumerate(keys):
+                        if key:
+                            at.setdefault(key, []).append(line)
+                    rows += [(xxhash.xxh3_128_digest(k), block["blk"], i, len(keys), np.array(p, dtype="<u4").tobytes()) for k, p in at.items()]
+                    if len(rows) >= 20_000:
+                        yield _batch(rows, _RECORD)
+                        rows = []
+                yield _batch(rows, _RECORD)
+
+    return run
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(schema), schema.types, strict=True)], schema=schema)
 
 
 def _mark(least: int):
@@ -58,14 +69,7 @@ def _mark(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(kind: int, rows: list[tuple], n: int | None = None) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([kind] * len(rows), pa.int32()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()),
-                    pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array([n] * len(rows), pa.int64()),
-                ],
-                names=["kind", "key", "doc_id", "h", "pos", "n"],
-            )
+            return _batch([(kind, *row, n) for row in rows], _MARKED)
 
         key, held, count, first = None, [], 0, True
         for b in batches:
@@ -75,7 +79,7 @@ def _mark(least: int):
                 if row[0] != key:
                     if key is not None and first:
                         opened += held
-                        yield out(COUNT, [(key, None, None, None)], count)
+                        yield out(COUNT, [(key, None, None, None, None)], count)
                         first = False
                     key, held, count = row[0], [], 0
                 count += 1
@@ -91,22 +95,22 @@ def _mark(least: int):
         if key is not None:
             # the last key may go on: what it already sent is right if it is common, and what it holds stays open
             yield out(OPEN, held)
-            yield out(COUNT, [(key, None, None, None)], count)
+            yield out(COUNT, [(key, None, None, None, None)], count)
 
     return run
 
 
-def dropped_lines(docs: DataFrame, least: int = 10) -> DataFrame:
-    """(doc_id, h, pos): packed positions of the lines whose key at least ``least`` documents hold."""
+def dropped_lines(blocks: DataFrame, column: int, least: int = 10) -> DataFrame:
+    """(blk, row, lines, pos): packed positions of the lines whose key at least ``least`` rows hold."""
     # written once: dealing by range reads its input twice
-    lines = store.staged(docs.mapInArrow(_records, RECORD), "line-records")
-    ordered = lines.repartitionByRange("key", "doc_id", "h").sortWithinPartitions("key", "doc_id", "h", "pos")
+    lines = store.staged(store.dealt(blocks).mapInArrow(_records(column), RECORD), "line-records")
+    ordered = lines.repartitionByRange("key", "blk", "row").sortWithinPartitions("key", "blk", "row", "pos")
     marked = store.staged(ordered.mapInArrow(_mark(least), MARKED), "line-marks")
     # two keys a task at most, so the table of totals is bounded by the number of tasks
     totals = marked.filter(F.col("kind") == COUNT).groupBy("key").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-    settled = marked.filter(F.col("kind") == DECIDED).select("doc_id", "h", "pos")
+    settled = marked.filter(F.col("kind") == DECIDED).select("blk", "row", "lines", "pos")
     late = marked.filter(F.col("kind") == OPEN).join(F.broadcast(totals.select("key")), "key", "left_semi")
-    return settled.unionByName(late.select("doc_id", "h", "pos"))
+    return settled.unionByName(late.select("blk", "row", "lines", "pos"))
 
 
 def keep_bitmap(n_lines: int, dropped: list[bytes]) -> bytes:
@@ -117,78 +121,101 @@ def keep_bitmap(n_lines: int, dropped: list[bytes]) -> bytes:
     return zlib.compress(np.packbits(keep, bitorder="little").tobytes(), 1)
 
 
-def kept_lines(text: bytes, bitmap: bytes) -> list[bytes]:
+def kept_flags(n_lines: int, bitmap: bytes | None) -> np.ndarray:
+    """One flag a line; without a bitmap every line stays."""
+    if bitmap is None:
+        return np.ones(n_lines, dtype=np.uint8)
+    return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little")[:n_lines]
+
+
+def kept_lines(text: bytes, bitmap: bytes | None) -> list[bytes]:
     lines = text.split(b"\n")
-    keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little")[: len(lines)]
-    return [line for line, k in zip(lines, keep, strict=True) if k]
+    if bitmap is None:
+        return lines
+    return [line for line, k in zip(lines, kept_flags(len(lines), bitmap).tolist(), strict=True) if k]
+
+
+def keep_runs(n_lines: int, bitmap: bytes | None) -> str:
+    """Lengths of the runs of lines that stay and go by turns; the first is of lines that stay."""
+    flags = kept_flags(n_lines, bitmap)
+    turns = np.nonzero(np.diff(flags, prepend=np.uint8(1)))[0]
+    return ",".join(map(str, np.diff(np.concatenate([[0], turns, [n_lines]])).tolist()))
+
 
+def _bitmaps(table: pa.Table) -> pa.Table:
+    """The bitmaps of one block's rows that lose lines: at most as many positions as the block has lines."""
+    own: dict[int, tuple[int, list[bytes]]] = {}
+    for row, n, pos in zip(*(table.column(c).to_pylist() for c in ("row", "lines", "pos")), strict=True):
+        own.setdefault(row, (n, []))[1].append(pos)
+    rows = sorted(own)
+    maps = pa.array([[keep_bitmap(*own[r]) for r in rows]], pa.list_(pa.binary()))
+    return pa.table({"blk": table.column("blk").slice(0, 1), "rows": pa.array([rows], pa.list_(pa.int32())), "keep": maps})
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = b.column(2).to_pylist()
-        maps = [keep_bitmap(k, p or []) for k, p in zip(n, b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(maps, pa.binary())], names=["doc_id", "h", "n_lines", "keep"])
 
+def _with_bitmaps(docs: DataFrame, column: int, least: int) -> DataFrame:
+    """The block table with the rows of each that lose lines, and their bitmaps."""
+    blocks = store.blocks(docs, "line-blocks", docs.columns[column])
+    maps = dropped_lines(blocks, column, least).groupBy("blk").applyInArrow(_bitmaps, "blk long, rows array<int>, keep array<binary>")
+    return store.dealt(store.staged(blocks.join(maps, "blk", "left"), "line-bitmaps"))
 
-def _grouped(docs: DataFrame, least: int) -> DataFrame:
-    return dropped_lines(docs, least).groupBy("doc_id", "h").agg(F.collect_list("pos").alias("dropped"))
+
+def _keep_of(block: dict, n: int) -> list[bytes | None]:
+    out: list[bytes | None] = [None] * n
+    for row, keep in zip(block["rows"] or [], block["keep"] or [], strict=True):
+        out[row] = keep
+    return out
 
 
 def line_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
-    """doc_id, n_lines and ``keep`` of every document; texts never leave the map tasks."""
-    own = store.texts(docs).withColumn("h", store.text_hash())
-    sized = own.select("doc_id", "h", (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("int").alias("n_lines"))
-    d = _grouped(own.select("doc_id", "text", "h"), least)
-    both = sized.join(d, sized["doc_id"].eqNullSafe(d["doc_id"]) & (sized["h"] == d["h"]), "left")
-    return both.select(sized["doc_id"], sized["h"], "n_lines", "dropped").mapInArrow(_bitmaps, "doc_id long, h long, n_lines int, keep binary")
-
-
-def without_common_lines(docs: DataFrame, least: int = 10) -> DataFrame:
-    """The documents with ``kept`` (the text without common lines), n_lines and n_dropped; other columns pass through.
-
-    Columns that have one of these three names are replaced.
-    """
-    added = ("kept", "n_lines", "n_dropped")
-    docs = docs.drop(*added)
-    own = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.coalesce("text", F.lit(""))}).withColumn("_h", store.text_hash("_text"))
-    d = _grouped(own.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), F.col("_h").alias("h")), least)
-    d = d.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_key"), F.col("dropped").alias("_dropped"))
-    both = own.join(d, own["_id"].eqNullSafe(d["_doc"]) & (own["_h"] == d["_key"]), "left").select(*docs.columns, "_dropped")
-    schema = T.StructType([*docs.schema, T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    """doc_id, n_lines and ``keep`` (see ``keep_bitmap``) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in b.to_pylist():
+                table = store.read_block(block["path"])
+                n = [t.count(b"\n") + 1 for t in store.block_texts(table, 1)]
+                keep = [k or keep_bitmap(size, []) for size, k in zip(n, _keep_of(block, len(n)), strict=True)]
+                yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), pa.array(n, pa.int32()), pa.array(keep, pa.binary())], names=["doc_id", "n_lines", "keep"])
+
+    return _with_bitmaps(store.texts(docs), 1, least).mapInArrow(run, "doc_id long, n_lines int, keep binary")
+
+
+def without_common_lines(docs: DataFrame, least: int = 10, text: str = "text") -> DataFrame:
+    """The rows, all columns as they are, but for the common lines of the text; a text that loses none stays as it is, null too."""
+    column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in store.slices(batches):
-            kept, n_lines, n_dropped = [], [], []
-            for text, dropped in zip(texts, rows.column(rows.schema.names.index("_dropped")).to_pylist(), strict=True):
-                raw = text.encode()
-                n = raw.count(b"\n") + 1
-                lines = kept_lines(raw, keep_bitmap(n, dropped)) if dropped else [raw]
-                kept.append(b"\n".join(lines).decode())
-                n_lines.append(n)
-                n_dropped.append(n - len(lines) if dropped else 0)
-            names = [c for c in rows.schema.names if c != "_dropped"]
-            arrays = [rows.column(rows.schema.names.index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, *added])
-
-    return both.mapInArrow(run, schema)
+        for b in batches:
+            for block in b.to_pylist():
+                table = store.read_block(block["path"])
+                old = table.column(column).to_pylist()
+                keep = _keep_of(block, table.num_rows)
+                new = (t if k is None else b"\n".join(kept_lines(t.encode(), k)).decode() for t, k in zip(old, keep, strict=True))
+                yield from store.with_text(table, column, new)
+
+    return _with_bitmaps(docs, column, least).mapInArrow(run, docs.schema)
 
 
 def digests(docs: DataFrame, least: int = 10) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
-    own = store.texts(docs).withColumn("h", store.text_hash()).select("doc_id", "text", "h")
-    d = _grouped(own, least)
-    both = own.join(d, own["doc_id"].eqNullSafe(d["doc_id"]) & (own["h"] == d["h"]), "left").select(own["doc_id"], "text", "dropped")
+    """doc_id, n_lines, n_dropped, kept_sha256 and keep_runs of every document, by its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in store.slices(batches):
-            n_lines, n_dropped, sha = [], [], []
-            for text, dropped in zip(texts, rows.column(2).to_pylist(), strict=True):
-                raw = text.encode()
-                n = raw.count(b"\n") + 1
-                kept = kept_lines(raw, keep_bitmap(n, dropped)) if dropped else [raw]
-                n_lines.append(n)
-                n_dropped.append(n - len(kept) if dropped else 0)
-                sha.append(hashlib.sha256(b"\n".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
-
-    return both.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+        for b in batches:
+            for block in b.to_pylist():
+                table = store.read_block(block["path"])
+                texts = store.block_texts(table, 1)
+                keep = _keep_of(block, len(texts))
+                n_lines, n_dropped, sha, runs = [], [], [], []
+                for raw, bitmap in zip(texts, keep, strict=True):
+                    kept = kept_lines(raw, bitmap)
+                    n = raw.count(b"\n") + 1
+                    n_lines.append(n)
+                    n_dropped.append(n - len(kept))
+                    sha.append(hashlib.sha256(b"\n".join(kept)).hexdigest())
+                    runs.append(str(n) if bitmap is None else keep_runs(n, bitmap))
+                yield pa.RecordBatch.from_arrays(
+                    [table.column(0).combine_chunks(), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha), pa.array(runs)],
+                    names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "keep_runs"],
+                )
+
+    return _with_bitmaps(store.texts(docs), 1, least).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, keep_runs string")

@@ -17,9 +17,14 @@ _STRIPPED = f"translate(regexp_replace(regexp_replace(line, '^{_BLANKS}', ''), '
 LINES_SQL = f"""WITH lines AS (SELECT doc_id, i, all_lines[i] AS line FROM (SELECT doc_id, all_lines, unnest(range(1, len(all_lines) + 1)) AS i
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents))),
 keyed AS (SELECT *, {_STRIPPED} AS k FROM lines),
-common AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM common)) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE k NOT IN (SELECT k FROM common)), '')) AS kept_sha256 FROM keyed GROUP BY doc_id"""
+common AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+flagged AS (SELECT doc_id, i, line, k IN (SELECT k FROM common) AS gone FROM keyed),
+runs AS (SELECT doc_id, gone, min(i) AS a, count(*) AS n FROM (
+  SELECT doc_id, gone, i, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS g FROM flagged) GROUP BY doc_id, gone, g),
+turns AS (SELECT doc_id, (CASE WHEN arg_min(gone, a) THEN '0,' ELSE '' END) || string_agg(n, ',' ORDER BY a) AS keep_runs FROM runs GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256, any_value(keep_runs) AS keep_runs
+FROM flagged JOIN turns USING (doc_id) GROUP BY doc_id"""
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:

@@ -110,15 +110,57 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
+def _components(distinct: DataFrame, radius: int) -> DataFrame:
+    """(fp, component) of a table of distinct ``fp``; a fingerprint without links is its own component."""
+    edges = store.staged(links(distinct.select("fp"), radius), "simhash-links")
+    label = components.connected(edges)
+    return distinct.join(label, distinct["fp"] == label["node"], "left").select(*distinct.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest doc_id that can be reached over links)."""
     fps = store.staged(fingerprints(docs), "simhash-fps")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = store.staged(distinct, "simhash-distinct")
-    edges = store.staged(links(distinct.select("fp"), radius), "simhash-links")
-    label = components.connected(edges)
-    named = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = store.staged(named, "simhash-named")
+    distinct = store.staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    named = store.staged(_components(distinct, radius), "simhash-named")
     ids = store.staged(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-ids")
     per_fp = named.join(ids, "component").select("fp", "component_id")
     return fps.join(per_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows, all columns as they are, that stand for their group of near-duplicates.
+
+    That is the row with the smallest doc_id (null is the largest), of several such the one with the smallest hash of
+    its text; of equal ones the first written.  Every row takes part as one of its own.
+    """
+    column, key = docs.columns.index("text"), docs.columns.index("doc_id")
+    blocks = store.blocks(docs, "simhash-blocks")
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.vacate()
+        for b in batches:
+            for block in b.to_pylist():
+                table = store.read_block(block["path"])
+                texts, n = store.block_texts(table, column), table.num_rows
+                fps = [_signed(fingerprint(t)) for t in texts]
+                own = [_signed(xxhash.xxh64_intdigest(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block["blk"]] * n, pa.int64()), pa.array(range(n), pa.int32()), table.column(key).cast(pa.int64()).combine_chunks(), pa.array(own, pa.int64()), pa.array(fps, pa.int64())],
+                    names=["blk", "row", "doc_id", "h", "fp"],
+                )
+
+    fps = store.dealt(blocks).mapInArrow(prints, "blk long, row int, doc_id long, h long, fp long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "blk", "row")).alias("first")
+    distinct = store.staged(fps.groupBy("fp").agg(first), "simhash-distinct")
+    named = _components(distinct, radius)
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select("first.blk", "first.row")
+    rows = kept.groupBy("blk").agg(F.collect_list("row").alias("rows"))  # at most the rows of a block
+    table = store.dealt(store.staged(blocks.join(rows, "blk"), "simhash-kept"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in b.to_pylist():
+                own = store.read_block(block["path"]).take(pa.array(sorted(block["rows"]), pa.int64()))
+                yield from store.with_text(own, column, iter(own.column(column).to_pylist()))
+
+    return table.mapInArrow(pick, docs.schema)

@@ -84,9 +84,9 @@ def scratch() -> Iterator[None]:
             _remove(path)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write a table to shared storage and read it back, which cuts the lineage and keeps it from being made twice."""
-    path = shared_dir(df.sparkSession, name) + "/table"
+    path = (folder or shared_dir(df.sparkSession, name)) + "/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
