@@ -1,6 +1,11 @@
 """The corpus pipeline: language ID, line dedup, SimHash near-dedup, suffix-array dedup, packing.
 
-Every stage works on all that the one before kept, and all but the last return the columns of ``documents``.
+Every stage works on all that the one before kept, and all but the last return the columns of ``documents``, whatever
+further columns there are and whatever they are called: operators know a row by its block and place, not by a name.
+
+Rows of every stage: a row is a document of its own, rows that share a doc_id or repeat another row included; a null
+doc_id stays null and counts as larger than any other; an empty table gives an empty table with the same columns.
+``n_chars``, where it exists, follows a text that a stage rewrites.
 """
 
 from __future__ import annotations
@@ -17,43 +22,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identified(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    """The same columns with a new text; n_chars follows it where there is such a column."""
-    out = docs.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+def _counted(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take lines that at least ten documents share out of every text."""
-    return _with_text(linededup.without_common_lines(docs), F.col("kept")).select(*docs.columns)
+    """Take lines that at least ten documents share out of every text; null text stays null."""
+    return _counted(linededup.without_common_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of every group of near-duplicates.
+    """Keep one document of every group of near-duplicates: the smallest doc_id, and of one doc_id the smallest text hash.
 
-    Repeated rows of one doc_id become one; rows without a doc_id can't be told apart and stay.
+    Null text is like text without words: all such documents are one group.
     """
-    groups = simhash.near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return simhash.one_of_each(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that a smaller doc_id has already; a character of which a part is cut goes whole.
-
-    Rows without a doc_id can't be matched to their cut text and keep it whole.
-    """
-    cut = suffixdedup.without_repeats(docs.filter(F.col("doc_id").isNotNull())).filter(F.size("starts") > 0)
-    cut = cut.select(F.col("doc_id").alias("_doc"), F.col("kept_text").alias("_kept")).dropDuplicates(["_doc"])
-    both = docs.join(cut, docs["doc_id"] == cut["_doc"], "left")
-    return _with_text(both, F.when(F.col("_doc").isNull(), F.col("text")).otherwise(F.col("_kept"))).select(*docs.columns)
+    """Cut passages that a smaller doc_id has already; a character of which a part is cut goes whole; null text stays null."""
+    return _counted(suffixdedup.rewritten(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training windows."""
+    """Pieces of training windows; null text is one piece of the end id."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -71,5 +65,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        folder = store.shared_dir(spark, f"pipeline-{name}")
+        with store.scratch():  # what a stage stores on the way goes once its rows are written
+            docs = store.staged(stage(spark, docs, sf_dir), f"pipeline-{name}", folder)
     return STAGES[-1][1](spark, docs, sf_dir)
