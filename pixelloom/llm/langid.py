@@ -3,9 +3,13 @@
 A word is scored in a language by summing, over all its segmentations into pieces, the product of their unigram
 probabilities (forward algorithm); words are independent, so a text's score is the sum over its words.  Piece
 probabilities are learned for each language by expectation-maximisation from word counts of a bounded sample of
-labelled documents: about ``PER_LANGUAGE`` documents of each language, chosen by hash, and their ``WORDS`` commonest
-words.  Words are runs between white space, lower-cased, without marks at both ends; words of more than ``LONGEST``
-characters are scored in parts of that length.
+labelled documents: about ``PER_LANGUAGE`` documents of each language, chosen by hash, and the ``WORDS`` commonest
+words of each language in them.  Words are runs between white space, lower-cased, without marks at both ends; words of
+more than ``LONGEST`` characters are learned and scored in parts of that length.
+
+The score is the posterior of the language that is most likely, tempered: words of one text are not independent, so
+their mean evidence counts as that of at most ``EVIDENCE`` words.  There is no limit on languages; the model holds one
+number a piece and language, and caches are bounded in bytes whatever that number is.
 
 Rows: null text or text without any letter is ``und`` with score 0; with nothing to learn from, every row is;
 documents with null lang or null doc_id teach nothing; a null doc_id counts as held out; extra columns are ignored.
@@ -23,12 +27,15 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pixelloom.llm import store
 from pixelloom.llm.chunks import MARKS
 
-PER_LANGUAGE, LANGUAGES, WORDS, LONGEST, PIECE, STEPS = 600, 200, 60_000, 24, 6, 3
+PER_LANGUAGE, WORDS, LONGEST, PIECE, STEPS, EVIDENCE = 600, 15_000, 24, 6, 3, 12
 UNKNOWN = 1e-9
+#: Bytes of known words with their scores, and of one step of the forward algorithm.
+CACHE_BYTES, STEP_BYTES = 48 << 20, 24 << 20
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -97,7 +104,9 @@ class Model:
 
     def __post_init__(self) -> None:
         self.index, self.cache = Pieces(self.pieces), {}
-        self.rows = np.zeros((1 << 16, len(self.languages)))
+        self.most = CACHE_BYTES // (200 + 4 * len(self.languages))
+        self.step = max(16, STEP_BYTES // (16 * (LONGEST + 1) * max(1, len(self.languages))))
+        self.rows = np.zeros((1 << 12, len(self.languages)), dtype=np.float32)
         self.used = 1  # row 0: a token without letters
 
     def forward(self, words: list[str], width: int) -> list[np.ndarray]:
@@ -125,8 +134,8 @@ class Model:
         size = np.array([len(p) for p in parts], dtype=np.int64)
         for lo, hi in ((0, 6), (6, 10), (10, 15), (15, LONGEST)):
             own = np.nonzero((size > lo) & (size <= hi))[0]
-            for s in range(0, len(own), 20_000):
-                part = own[s : s + 20_000]
+            for s in range(0, len(own), self.step):
+                part = own[s : s + self.step]
                 alpha = np.stack(self.forward([parts[i] for i in part], hi))
                 np.add.at(out, np.array(owner)[part], np.log(alpha[size[part], np.arange(len(part))]))
         return out
@@ -134,15 +143,16 @@ class Model:
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         tokens = [t.lower().split() for t in texts]
         fresh = list({w for ws in tokens for w in ws if w not in self.cache})
-        if len(self.cache) + len(fresh) > 400_000:
+        if self.cache and len(self.cache) + len(fresh) > self.most:
             self.cache.clear()
+            self.rows = self.rows[: 1 << 12].copy()
             self.used = 1
             fresh = list({w for ws in tokens for w in ws})
         cores = [w.strip(MARKS) for w in fresh]
         cores = [w if w.isalpha() or any(map(str.isalpha, w)) else "" for w in cores]
         named = [w for w in dict.fromkeys(cores) if w]
         if self.used + len(named) > len(self.rows):
-            grown = np.zeros((max(2 * len(self.rows), self.used + len(named)), len(self.languages)))
+            grown = np.zeros((max(2 * len(self.rows), self.used + len(named)), len(self.languages)), dtype=np.float32)
             grown[: self.used] = self.rows[: self.used]
             self.rows = grown
         self.rows[self.used : self.used + len(named)] = self.word_scores(named)
@@ -154,34 +164,40 @@ class Model:
             if not self.languages or not any(c.isalpha() for c in text):
                 out.append(("und", 0.0))
                 continue
-            logs = self.prior + self.rows[np.fromiter(map(self.cache.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
-            weight = np.exp(logs - logs.max())
-            best = int(logs.argmax())
+            logs = self.rows[np.fromiter(map(self.cache.__getitem__, ws), np.int64, len(ws))].sum(axis=0, dtype=np.float64)
+            best = int((self.prior + logs).argmax())
+            tempered = self.prior + logs * min(1.0, EVIDENCE / len(ws))
+            weight = np.exp(tempered - tempered.max())
             out.append((self.languages[best], float(weight[best] / weight.sum())))
         return out
 
 
 def learn(docs: DataFrame, vocabulary_path: str) -> Model:
-    """Fit on the bounded sample; only word counts (``WORDS`` rows) reach the driver."""
+    """Fit on the bounded sample; only word counts (``WORDS`` rows a language) reach the driver."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()  # one row a language
     pieces = vocabulary(vocabulary_path)
     if not counts:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)), np.zeros(0))
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0
     sample = known.filter(unit < F.try_element_at(share, F.col("lang")))
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).groupBy("lang", "word").count()
-    top = words.filter(F.length("word").between(1, LONGEST)).orderBy(F.desc("count"), "lang", "word").limit(WORDS).collect()
+    marks = "[" + "".join("\\" + m for m in MARKS) + "]+"
+    word = F.regexp_replace("word", f"^{marks}|{marks}$", "")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length("word") - 1, F.lit(0)), F.lit(LONGEST)), lambda i: F.substring(F.col("word"), i + 1, F.lit(LONGEST)))
+    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).select("lang", word.alias("word"))
+    words = words.select("lang", F.explode(cut).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    top = words.withColumn("rank", rank).filter(F.col("rank") <= WORDS).collect()
+    top.sort(key=lambda r: (r["lang"], r["rank"]))
     languages = sorted({r["lang"] for r in counts})
     total = sum(r["count"] for r in counts)
     prior = np.log([next(r["count"] for r in counts if r["lang"] == x) / total for x in languages])
     weights: dict[str, np.ndarray] = {}
     for r in top:
-        core = r["word"].strip(MARKS)
-        if any(map(str.isalpha, core)):
-            weights.setdefault(core, np.zeros(len(languages)))[languages.index(r["lang"])] += r["count"]
+        if any(map(str.isalpha, r["word"])):
+            weights.setdefault(r["word"], np.zeros(len(languages)))[languages.index(r["lang"])] += r["count"]
     prob = np.full((len(pieces) + 1, len(languages)), 1.0 / len(pieces))
     prob[-1] = 0.0
     model = Model(languages, pieces, prob, prior)
@@ -196,8 +212,9 @@ def _maximise(model: Model, words: list[str], weights: np.ndarray) -> None:
     """One step of expectation-maximisation: expected piece counts over all segmentations, then smoothed shares."""
     expected = np.zeros_like(model.prob)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for s in range(0, len(order), 5000):
-        own = order[s : s + 5000]
+    step = max(16, model.step // 4)
+    for s in range(0, len(order), step):
+        own = order[s : s + step]
         part = [words[i] for i in own]
         width = max(map(len, part))
         found, size = model.index.find(part, width)

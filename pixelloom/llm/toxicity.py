@@ -3,7 +3,8 @@
 Features are the distinct hashed words, word pairs, and pairs with one word between.  Every coordinate has its own
 learning rate, and the L1 term keeps most weights at exactly zero, so that the model is a short list of non-zero
 weights.  It is fitted on a bounded sample of labelled rows: the ``POSITIVE`` and ``NEGATIVE`` rows of either label
-with the smallest hashes.  Their features are made on the executors; only those reach the driver.
+with the smallest hashes.  Their features are made on the executors and stored in the order of the hashes; the driver
+reads them file by file in every pass and never holds more than a few rows.
 
 Rows: null or empty text gets the score of the bias alone; a null doc_id counts as held out and teaches nothing;
 labels repeated for one doc_id count as toxic if any is; null labels teach nothing; with no labels every score is 0.
@@ -11,10 +12,11 @@ labels repeated for one doc_id count as toxic if any is; null labels teach nothi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,22 +27,29 @@ from pixelloom.llm.langid import held_out
 
 POSITIVE, NEGATIVE, BITS = 5000, 10000, 20
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 3.0, 1.0, 4
-_WORDS: dict[str, int] = {}
+#: Bytes of words whose hashes a worker keeps.
+CACHE_BYTES = 32 << 20
 
 
-def _word(token: str) -> int:
-    found = _WORDS.get(token)
-    if found is None:
-        if len(_WORDS) > 300_000:
-            _WORDS.clear()
-        found = _WORDS[token] = xxhash.xxh64_intdigest(token.strip(MARKS).encode(), 11)
-    return found
+class _Words(dict):
+    """Token to the hash of its word, in bounded memory."""
+
+    used = 0
+
+    def __missing__(self, token: str) -> int:
+        if self.used > CACHE_BYTES:
+            self.clear()
+            self.used = 0
+        self.used += 170 + len(token)
+        found = self[token] = xxhash.xxh64_intdigest(token.strip(MARKS).encode(), 11)
+        return found
 
 
 def _hashed(text: str) -> np.ndarray:
     """Bucket of every n-gram and skip-gram, repeats included."""
     tokens = text.lower().split()
-    h = np.fromiter(map(_word, tokens), dtype=np.uint64, count=len(tokens))
+    words = store.resident("toxicity words", _Words)
+    h = np.fromiter(map(words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     c = np.uint64(0x9E3779B97F4A7C15)
     grams = [h * np.uint64(3), h[:-1] * c + h[1:] * np.uint64(5), h[:-2] * c + h[2:] * np.uint64(7)]
     mixed = np.concatenate(grams)
@@ -51,8 +60,8 @@ def features(text: str) -> np.ndarray:
     return np.unique(_hashed(text))
 
 
-def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[float, np.ndarray, np.ndarray]:
-    """(bias, buckets, weights) of the non-zero weights; rows are visited in the given order, ``PASSES`` times."""
+def fit(rows: Callable[[], Iterable[tuple[np.ndarray, int]]]) -> tuple[float, np.ndarray, np.ndarray]:
+    """(bias, buckets, weights) of the non-zero weights; ``rows`` is called once for each of the ``PASSES``."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -62,7 +71,7 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[float, np.ndarray, np.ndarr
         return np.where(np.abs(own) <= L1, 0.0, w)
 
     for _ in range(PASSES):
-        for found, label in rows:
+        for found, label in rows():
             at = np.append(found.astype(np.int64), size)
             w = weight(at)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
@@ -88,9 +97,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.nda
 
     # at most POSITIVE + NEGATIVE rows of three numbers are broadcast
     joined = store.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "o", "toxic")
-    rows = joined.mapInArrow(run, "o long, toxic int, doc_id long, f binary").collect()
-    rows = sorted((r["o"], r["doc_id"], r["toxic"], bytes(r["f"])) for r in rows)
-    return fit([(np.frombuffer(f, "<u4"), label) for _, _, label, f in rows])
+    made = joined.mapInArrow(run, "o long, toxic int, doc_id long, f binary")
+    files = sorted(store.staged(made.orderBy("o", "doc_id", "f"), "toxicity-rows").inputFiles())
+
+    def rows() -> Iterator[tuple[np.ndarray, int]]:
+        for file in files:
+            fs, local = store.filesystem(file)
+            with fs.open_input_file(local) as f:
+                for batch in pq.ParquetFile(f).iter_batches(64, columns=["toxic", "f"]):
+                    for label, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        yield np.frombuffer(found, "<u4"), label
+
+    return fit(rows)
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
