@@ -1,14 +1,12 @@
-"""Operator 9: media columns in lossless WebP (VP8L).
+"""Operator 9: media columns in lossless WebP.
 
-The decoder covers the format: prefix codes (simple and normal), groups of codes chosen by a meta image, back
-references, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms.  It writes a
-(height, width, 4) array of A,R,G,B samples.  Streams whose colour codes all have eight bits and that use neither
-references nor a cache are read at once with numpy; that is what the writer here produces, so that storing text bytes
-as samples costs no more than moving them.  A payload is laid out as R,G,B samples, 64 pixels a row; one that needs
-more rows than an image can have becomes several files back to back.
+A text's bytes, padded, are 8-bit samples of gray images 192 pixels wide; a payload of more than ``ROWS`` rows becomes
+several files back to back.  The files are what the codec's writer makes of them: a palette, prefix codes that follow
+the counts, back references.  They are read by the codec's decoder, which takes all files of a slice in step.
 
 Rows: null text counts as empty, whose payload is 192 blanks; repeated rows and doc_ids give rows of their own; a
-null doc_id stays null; extra columns are ignored; an empty table gives an empty table.  Map-only.
+null doc_id stays null; extra columns are ignored; an empty table gives an empty table.  Map-only; a task holds the
+files of one slice of rows, and of a longer text some megabytes of files at a time.
 """
 
 from __future__ import annotations
@@ -21,350 +19,63 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pixelloom.functions import webp as codec
 from pixelloom.llm import store
 
-UNIT, WIDTH, MOST_ROWS = 192, 64, 16384
-# Fixed values of the format.
-CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
-CACHE_MULTIPLIER = 0x1E35A7BD
-NEAR = (
-    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3),
-    (3, 1), (-3, 1), (2, 3), (-2, 3), (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3), (2, 4), (-2, 4),
-    (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0), (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2),
-    (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1), (2, 6), (-2, 6), (6, 2), (-6, 2),
-    (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1),
-    (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5),
-    (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7),
-    (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
-)
-#: A byte with its bits in the other order: eight-bit codes lie in the stream from their highest bit on.
-FLIPPED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), axis=1, bitorder="little")[:, 0]
-
-
-class Bits:
-    """Reads and writes numbers from the lowest bit on."""
-
-    def __init__(self, data: bytes = b""):
-        self.data, self.at = data, 0
-        self.value = self.size = 0
-
-    def read(self, n: int) -> int:
-        first, shift = divmod(self.at, 8)
-        self.at += n
-        if self.at > 8 * len(self.data):
-            raise ValueError("the stream ends too soon")
-        return int.from_bytes(self.data[first : (self.at + 7) // 8], "little") >> shift & (1 << n) - 1
-
-    def write(self, value: int, n: int) -> None:
-        self.value |= value << self.size
-        self.size += n
-
-
-class Prefix:
-    """A canonical prefix code; ``only`` is its symbol where there is just one, which takes no bits."""
-
-    def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.lengths = lengths
-        self.only = used[0][1] if len(used) == 1 else 0 if not used else None
-        self.table: dict[tuple[int, int], int] = {}
-        code = before = 0
-        for n, s in sorted(used):
-            code <<= n - before
-            self.table[n, code] = s
-            code, before = code + 1, n
-        if len(used) > 1 and code != 1 << before:
-            raise ValueError("the code is not complete")
-
-    def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        code = n = 0
-        while n < 16:
-            code, n = code << 1 | bits.read(1), n + 1
-            symbol = self.table.get((n, code))
-            if symbol is not None:
-                return symbol
-        raise ValueError("no such code")
-
-
-def _prefix(bits: Bits, size: int) -> Prefix:
-    lengths = [0] * size
-    if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Prefix(lengths)
-    own = [0] * 19
-    for i in range(4 + bits.read(4)):
-        own[CODE_LENGTH_ORDER[i]] = bits.read(3)
-    code = Prefix(own)
-    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
-    while at < size and left > 0:
-        left -= 1
-        symbol = code.read(bits)
-        if symbol < 16:
-            lengths[at] = symbol
-            at, last = at + 1, symbol or last
-            continue
-        value, least, extra = {16: (last, 3, 2), 17: (0, 3, 3), 18: (0, 11, 7)}[symbol]
-        n = least + bits.read(extra)
-        if at + n > size:
-            raise ValueError("too many code lengths")
-        lengths[at : at + n] = [value] * n
-        at += n
-    return Prefix(lengths)
-
-
-def _extended(symbol: int, bits: Bits) -> int:
-    """Length or distance of a back reference: short ones as they are, long ones with extra bits."""
-    if symbol < 4:
-        return symbol + 1
-    extra = symbol - 2 >> 1
-    return (2 + (symbol & 1) << extra) + bits.read(extra) + 1
-
-
-def _eight(code: Prefix) -> bool:
-    return code.lengths[:256] == [8] * 256
-
-
-def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """One entropy-coded image as packed A,R,G,B integers."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    groups, meta, shift = 1, None, 0
-    if main and bits.read(1):
-        shift = bits.read(3) + 2
-        across = width + (1 << shift) - 1 >> shift
-        meta = (_pixels(bits, across, height + (1 << shift) - 1 >> shift, False) >> 8 & 0xFFFF).reshape(-1, across)
-        groups = int(meta.max()) + 1
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[_prefix(bits, n) for n in sizes] for _ in range(groups)]
-    total = width * height
-    green, red, blue, alpha, _ = codes[0]
-    if groups == 1 and not cache_bits and _eight(green) and _eight(red) and _eight(blue) and alpha.only is not None:
-        first, offset = divmod(bits.at, 8)
-        raw = np.frombuffer(bits.data, np.uint8, offset=first)
-        if offset:
-            raw = raw[:-1] >> offset | raw[1:] << (8 - offset)
-        if len(raw) < 3 * total:
-            raise ValueError("the stream ends too soon")
-        bits.at += 24 * total
-        g, r, b = FLIPPED[raw[: 3 * total]].reshape(total, 3).T.astype(np.uint32)
-        return np.uint32(alpha.only << 24) | r << 16 | g << 8 | b
-    out = [0] * total
-    cache = [0] * (1 << cache_bits)
-    kept = at = 0
-    while at < total:
-        group = codes[0] if meta is None else codes[int(meta[at // width >> shift, at % width >> shift])]
-        symbol = group[0].read(bits)
-        if symbol < 256:
-            r, b, a = group[1].read(bits), group[2].read(bits), group[3].read(bits)
-            out[at] = a << 24 | r << 16 | symbol << 8 | b
-            at += 1
-        elif symbol < 280:
-            length, near = _extended(symbol - 256, bits), _extended(group[4].read(bits), bits)
-            if near > len(NEAR):
-                distance = near - len(NEAR)
-            else:
-                dx, dy = NEAR[near - 1]
-                distance = max(1, dx + dy * width)
-            if distance > at or at + length > total:
-                raise ValueError("a reference outside the image")
-            for _ in range(length):
-                out[at] = out[at - distance]
-                at += 1
-        else:
-            out[at] = cache[symbol - 280]
-            at += 1
-        while cache_bits and kept < at:
-            cache[(CACHE_MULTIPLIER * out[kept] & 0xFFFFFFFF) >> 32 - cache_bits] = out[kept]
-            kept += 1
-    return np.array(out, dtype=np.uint32)
-
-
-def _split(x: int) -> tuple[int, int, int, int]:
-    return x >> 24, x >> 16 & 255, x >> 8 & 255, x & 255
-
-
-def _half(a: int, b: int) -> int:
-    return ((a ^ b) & 0xFEFEFEFE) // 2 + (a & b)
-
-
-def _clamped(parts: Iterator[int]) -> int:
-    out = 0
-    for p in parts:
-        out = out << 8 | min(255, max(0, p))
-    return out
-
-
-def _predicted(mode: int, left: int, top: int, top_right: int, top_left: int) -> int:
-    if mode == 1:
-        return left
-    if mode == 2:
-        return top
-    if mode == 3:
-        return top_right
-    if mode == 4:
-        return top_left
-    if mode == 5:
-        return _half(_half(left, top_right), top)
-    if mode == 6:
-        return _half(left, top_left)
-    if mode == 7:
-        return _half(left, top)
-    if mode == 8:
-        return _half(top_left, top)
-    if mode == 9:
-        return _half(top, top_right)
-    if mode == 10:
-        return _half(_half(left, top_left), _half(top, top_right))
-    four = list(zip(_split(left), _split(top), _split(top_left), strict=True))
-    if mode == 11:  # whichever neighbour is nearer to left + top - top_left
-        to_left = sum(abs(t - c) for _, t, c in four)
-        to_top = sum(abs(x - c) for x, _, c in four)
-        return left if to_left < to_top else top
-    if mode == 12:
-        return _clamped(x + t - c for x, t, c in four)
-    if mode == 13:
-        mean = zip(_split(_half(left, top)), _split(top_left), strict=True)
-        return _clamped(m + int((m - c) / 2) for m, c in mean)
-    return 0xFF000000
-
-
-def _unpredict(px: np.ndarray, width: int, height: int, block: np.ndarray, shift: int) -> np.ndarray:
-    out = px.tolist()
-    for y in range(height):
-        for x in range(width):
-            at = y * width + x
-            if not y:
-                guess = out[at - 1] if x else 0xFF000000
-            elif not x:
-                guess = out[at - width]
-            else:
-                guess = _predicted(int(block[y >> shift, x >> shift]) >> 8 & 15, out[at - 1], out[at - width], out[at - width + 1], out[at - width - 1])
-            value = out[at]
-            out[at] = (value & 0xFF00FF00) + (guess & 0xFF00FF00) & 0xFF00FF00 | (value & 0x00FF00FF) + (guess & 0x00FF00FF) & 0x00FF00FF
-    return np.array(out, dtype=np.uint32)
-
-
-def _uncross(px: np.ndarray, width: int, height: int, block: np.ndarray, shift: int) -> np.ndarray:
-    own = np.repeat(np.repeat(block, 1 << shift, axis=0), 1 << shift, axis=1)[:height, :width].ravel()
-    signed = lambda v: (v & 255).astype(np.uint8).view(np.int8).astype(np.int32)
-    green = signed(px >> 8)
-    red = (px >> 16 & 255).astype(np.int32) + (signed(own) * green >> 5) & 255
-    blue = (px & 255).astype(np.int32) + (signed(own >> 8) * green >> 5)
-    blue = blue + (signed(own >> 16) * signed(red.astype(np.uint32)) >> 5) & 255
-    return px & np.uint32(0xFF00FF00) | red.astype(np.uint32) << 16 | blue.astype(np.uint32)
-
-
-def _add_green(px: np.ndarray) -> np.ndarray:
-    green = px >> 8 & 255
-    red, blue = (px >> 16) + green & 255, px + green & 255
-    return px & np.uint32(0xFF00FF00) | red << 16 | blue
-
-
-def decode(data: bytes) -> np.ndarray:
-    """The samples of one file, shape (height, width, 4), order A,R,G,B."""
-    if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
-        raise ValueError("not a lossless WebP file")
-    bits = Bits(data[21 : 20 + int.from_bytes(data[16:20], "little")])
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    bits.read(1)
-    if bits.read(3):
-        raise ValueError("unknown version")
-    undo: list[tuple] = []
-    full = width
-    while bits.read(1):
-        kind = bits.read(2)
-        if kind in (0, 1):
-            shift = bits.read(3) + 2
-            across = width + (1 << shift) - 1 >> shift
-            block = _pixels(bits, across, height + (1 << shift) - 1 >> shift, False).reshape(-1, across)
-            undo.append((kind, width, block, shift))
-        elif kind == 2:
-            undo.append((kind, width, None, 0))
-        else:
-            n = bits.read(8) + 1
-            table = _pixels(bits, n, 1, False)
-            channels = np.cumsum(np.stack(_split(table)), axis=1).astype(np.uint32) & 255
-            colors = np.zeros(256, dtype=np.uint32)
-            colors[:n] = channels[0] << 24 | channels[1] << 16 | channels[2] << 8 | channels[3]
-            shift = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-            undo.append((kind, width, colors, shift))
-            width = width + (1 << shift) - 1 >> shift
-    px = _pixels(bits, width, height, True)
-    for kind, w, extra, shift in reversed(undo):
-        if kind == 0:
-            px = _unpredict(px, w, height, extra, shift)
-        elif kind == 1:
-            px = _uncross(px, w, height, extra, shift)
-        elif kind == 2:
-            px = _add_green(px)
-        else:
-            size = 8 >> shift
-            packed = (px >> 8 & 255).reshape(height, -1)
-            spread = packed[:, :, None] >> np.arange(1 << shift, dtype=np.uint32) * size & (1 << size) - 1
-            px = extra[spread.reshape(height, -1)[:, :w].ravel()]
-    return px.astype(">u4").view(np.uint8).reshape(height, full, 4)
-
-
-def container(body: bytes) -> bytes:
-    """The file around a VP8L stream (without its signature byte)."""
-    size = len(body) + 1
-    padded = body + b"\0" * (size & 1)
-    return b"RIFF" + (13 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + size.to_bytes(4, "little") + b"\x2f" + padded
-
-
-def _header(width: int, height: int) -> Bits:
-    """Everything before the pixels: no transform, no cache, one group of codes of eight bits a colour."""
-    b = Bits()
-    for value, n in ((width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        b.write(value, n)
-    for _ in range(3):  # green, red, blue: 256 symbols, each with the one code length 8, which takes no bits
-        b.write(0, 1)
-        b.write(8, 4)
-        for symbol in CODE_LENGTH_ORDER[:12]:
-            b.write(1 if symbol == 8 else 0, 3)
-        for value, n in ((1, 1), (3, 3), (254, 8)):
-            b.write(value, n)
-    for value in (255, 0):  # alpha and distance: one symbol
-        for v, n in ((1, 1), (0, 1), (1, 1), (value, 8)):
-            b.write(v, n)
-    return b
-
-
-def encode(rgb: np.ndarray) -> bytes:
-    """A lossless file of (height, width, 3) samples."""
-    head = _header(rgb.shape[1], rgb.shape[0])
-    body = FLIPPED[rgb.reshape(-1, 3)[:, [1, 0, 2]].ravel()]
-    whole, shift = divmod(head.size, 8)
-    out = np.zeros(whole + len(body) + 1, dtype=np.uint8)
-    out[: whole + 1] = np.frombuffer(head.value.to_bytes(whole + 1, "little"), np.uint8)
-    out[whole : whole + len(body)] |= body << shift if shift else body
-    if shift:
-        out[whole + 1 :] |= body >> (8 - shift)
-    return container(out.tobytes())
+WIDTH, ROWS = 192, 48
+#: Bytes of text whose files are read in step, and of samples that are written at once.
+READ_BYTES, WRITE_BYTES = 6 << 20, 2 << 20
 
 
 def payload(text: bytes) -> bytes:
-    return text + b" " * (UNIT - len(text) if not text else -len(text) % UNIT)
-
-
-def to_media(data: bytes) -> bytes:
-    rows = np.frombuffer(data, np.uint8).reshape(-1, WIDTH, 3)
-    return b"".join(encode(rows[s : s + MOST_ROWS]) for s in range(0, len(rows), MOST_ROWS))
-
-
-def from_media(media: bytes) -> np.ndarray:
-    """R,G,B samples, rows of 64 pixels, of one or more files back to back."""
+    return text + b" " * (WIDTH - len(text) if not text else -len(text) % WIDTH)
+
+
+def to_media(payloads: list[bytes]) -> list[bytes]:
+    """The stored form of each payload."""
+    images, owner = [], []
+    for i, data in enumerate(payloads):
+        rows = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+        images += [rows[s : s + ROWS] for s in range(0, len(rows), ROWS)]
+        owner += [i] * -(-len(rows) // ROWS)
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for a, z in _starts([x.size for x in images], WRITE_BYTES):
+        for i, file in zip(owner[a:z], codec.encode_gray(images[a:z]), strict=True):
+            out[i].append(file)
+    return [b"".join(files) for files in out]
+
+
+def _starts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of images of about ``most`` bytes."""
+    begin = total = 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most or i + 1 == len(sizes):
+            yield begin, i + 1
+            begin, total = i + 1, 0
+
+
+def files_of(media: bytes) -> list[bytes]:
     out, at = [], 0
     while at < len(media):
         size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        out.append(decode(media[at : at + size])[:, :, 1:])
+        out.append(media[at : at + size])
         at += size
-    return np.concatenate(out)
+    return out
+
+
+def from_media(media: list[bytes]) -> list[np.ndarray]:
+    """The samples, rows of 192, of each stored form."""
+    files = [files_of(m) for m in media]
+    flat = [f for own in files for f in own]
+    gray: list[np.ndarray] = []
+    for a, z in _starts([2 * len(f) for f in flat], READ_BYTES):
+        gray += [x[:, :, 2] for x in codec.decode_many(flat[a:z])]
+    out, at = [], 0
+    for own in files:
+        out.append(np.concatenate(gray[at : at + len(own)]))
+        at += len(own)
+    return out
 
 
 def describe(samples: np.ndarray) -> str:
@@ -380,8 +91,9 @@ def media(docs: DataFrame) -> DataFrame:
     """doc_id, media (the stored bytes) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in store.slices(batches):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([to_media(payload(t.encode())) for t in texts], pa.binary())], names=["doc_id", "media"])
+        store.vacate()
+        for rows, texts in store.slices(batches, READ_BYTES):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(to_media([payload(t.encode()) for t in texts]), pa.binary())], names=["doc_id", "media"])
 
     return store.texts(docs).mapInArrow(run, "doc_id long, media binary")
 
@@ -390,14 +102,14 @@ def digests(docs: DataFrame) -> DataFrame:
     """Store every text, read it back from the stored bytes and describe it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in store.slices(batches):
+        store.vacate()
+        for rows, texts in store.slices(batches, READ_BYTES):
+            raw = [t.encode() for t in texts]
+            stored = to_media([payload(t) for t in raw])
             out: list[tuple] = []
-            for t in texts:
-                raw = t.encode()
-                stored = to_media(payload(raw))
-                samples = from_media(stored)
+            for t, kept, samples in zip(raw, stored, from_media(stored), strict=True):
                 back = samples.tobytes()
-                out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(samples)))
+                out.append((len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(kept), hashlib.sha256(kept).hexdigest(), describe(samples)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
