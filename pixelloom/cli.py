@@ -7,7 +7,12 @@ import logging
 import os
 import sys
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 from pixelloom import api
+from pixelloom.functions.classify import media_kind
+from pixelloom.sources.files import existing
 
 log = logging.getLogger("pixelloom")
 
@@ -24,19 +29,17 @@ def main(argv: list[str]) -> int:
         else:
             paths.append(argv[i])
         i += 1
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.builder.getOrCreate()
-    report: dict[str, list] = {"images": [], "videos": []}
-    for path in paths:
-        if not os.path.exists(path):
-            log.error("file not found: %s", path)
-        elif api.is_image_file(path):
-            report["images"].append(api.process_image(spark, path))
-        elif api.is_video_file(path):
-            report["videos"].append(api.process_video(spark, path))
-        else:
-            log.error("unsupported file type: %s", path)
+    # one table of all arguments: which exist, and what each is
+    asked = spark.createDataFrame([(i, p, os.path.abspath(p)) for i, p in enumerate(paths)], "place int, path string, full string")
+    rows = existing(asked, "full").withColumn("kind", media_kind(F.col("path"))).orderBy("place").collect()
+    for r in rows:
+        if not r["exists"]:
+            log.error("file not found: %s", r["path"])
+        elif r["kind"] == "unsupported":
+            log.error("unsupported file type: %s", r["path"])
+    of = lambda kind: [r["path"] for r in rows if r["exists"] and r["kind"] == kind]
+    report = {"images": api.process_images(spark, of("image")), "videos": api.process_videos(spark, of("video"), stills=os.getcwd())}
     try:
         with open(output, "w") as f:
             json.dump(report, f, indent=2, sort_keys=True)

@@ -8,6 +8,15 @@ import numpy as np
 TAN_22 = 13573
 
 
+def decoded(image: dict | None) -> np.ndarray | None:
+    """The samples of an image struct, or None: no payload, no size, or fewer bytes than the size needs."""
+    if image is None or image["data"] is None or min(image["width"] or -1, image["height"] or -1, image["nChannels"] or -1) <= 0:
+        return None
+    if len(image["data"]) < image["height"] * image["width"] * image["nChannels"]:
+        return None
+    return pixels(image["data"], image["height"], image["width"], image["nChannels"])
+
+
 def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8)[: height * width * channels].reshape(height, width, channels)
 
@@ -79,18 +88,30 @@ def color_rows(px: np.ndarray) -> np.ndarray:
     return np.repeat(rows[:, :1], 3, axis=1) if px.shape[2] < 3 else rows[:, :3]
 
 
-def dominant_colors(rows: np.ndarray, k: int = 3, steps: int = 10) -> list[tuple[float, float, float, int]]:
-    """Lloyd's algorithm on distinct colours with weights.
+def packed_colors(rows: np.ndarray) -> np.ndarray:
+    """Each row of three values as one number."""
+    return rows[:, 0].astype(np.int64) << 16 | rows[:, 1].astype(np.int64) << 8 | rows[:, 2]
 
-    Seeds are the pixels at k equal strides, so the result does not depend on chance; ties go to the lower centre;
-    an empty cluster keeps its centre.  Returns (b, g, r, pixels) in seed order.
-    """
+
+def unpacked(values: np.ndarray) -> np.ndarray:
+    return np.stack([values >> 16, values >> 8 & 255, values & 255], axis=1).astype(np.float64)
+
+
+def dominant_colors(rows: np.ndarray, k: int = 3, steps: int = 10) -> list[tuple[float, float, float, int]]:
+    """Clusters of pixels, from the pixels at k equal strides: (b, g, r, pixels) in seed order."""
     n = len(rows)
     k = min(k, n)
-    centres = rows[[j * n // k for j in range(k)]].astype(np.float64) if k else np.zeros((0, 3))
-    packed = rows[:, 0].astype(np.int64) << 16 | rows[:, 1].astype(np.int64) << 8 | rows[:, 2]
+    packed = packed_colors(rows)
     values, weights = np.unique(packed, return_counts=True)
-    points = np.stack([values >> 16, values >> 8 & 255, values & 255], axis=1).astype(np.float64)
+    return clusters(values, weights, packed[[j * n // k for j in range(k)]] if k else packed, steps)
+
+
+def clusters(values: np.ndarray, weights: np.ndarray, seeds: np.ndarray, steps: int = 10) -> list[tuple[float, float, float, int]]:
+    """Lloyd's algorithm on distinct packed colours with weights.
+
+    Given seeds, the result does not depend on chance; ties go to the lower centre; an empty cluster keeps its centre.
+    """
+    k, centres, points = len(seeds), unpacked(seeds), unpacked(values)
     count = np.zeros(k, dtype=np.int64)
     for _ in range(steps if k else 0):
         near = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)

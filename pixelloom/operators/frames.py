@@ -1,135 +1,234 @@
 """Video operators over ``videos`` and ``frames``.
 
-Frames are reduced in the map task to what a metric needs: brightness sums, one gray byte per pixel, or distinct
-colours.  Only the frames under a metric's cap are read at all (a plain filter, pushed into the source), so a group
-that is shuffled by video never holds more than the cap, however long the video is.
+Every frame is read once: the map task reduces it to what the asked metrics need (mean level, one gray byte a pixel,
+distinct colours with their counts and the pixels that can seed a cluster), and only frames under the highest cap of
+those metrics are read at all (a plain filter, pushed into the source).  One shuffle by video brings the reduced
+frames together in order; a partition streams them, keeps one gray plane and emits one row a video.  However long a
+video is, no more than the cap is shuffled.
+
+A frame without payload, or with fewer bytes than its size needs (a truncated file), counts for no metric.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pixelloom import schemas
-from pixelloom.functions import kernels
+from pixelloom.functions import kernels, slices
 from pixelloom.functions.classify import first_frame_name
 
-_ID = T.StructField("video_id", T.LongType())
-_INDEX = T.StructField("frame_index", T.IntegerType())
+#: What can be asked for, and the last frame that it looks at.
+LAST = {
+    "brightness": schemas.BRIGHTNESS_LAST,
+    "motion": schemas.MOTION_LAST,
+    "scenes": schemas.SCENE_LAST,
+    "consistency": schemas.CONSISTENCY_LAST,
+    "colors": schemas.COLOR_LAST,
+    "first": 0,
+}
+REDUCED = "video_id long, frame_index int, level double, plane binary, colors binary, counts binary, seeds array<struct<at:int,color:int>>, pixels int, width int, height int, channels int"
+SUMMARY = "video_id long, brightness double, motion double, scenes array<int>, mean double, spread double, colors array<array<double>>, width int, height int, channels int"
+_REDUCED = pa.schema(
+    [
+        ("video_id", pa.int64()), ("frame_index", pa.int32()), ("level", pa.float64()), ("plane", pa.binary()), ("colors", pa.binary()), ("counts", pa.binary()),
+        ("seeds", pa.list_(pa.struct([("at", pa.int32()), ("color", pa.int32())]))), ("pixels", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()),
+    ]
+)
+_SUMMARY = pa.schema(
+    [
+        ("video_id", pa.int64()), ("brightness", pa.float64()), ("motion", pa.float64()), ("scenes", pa.list_(pa.int32())), ("mean", pa.float64()), ("spread", pa.float64()),
+        ("colors", pa.list_(pa.list_(pa.float64()))), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()),
+    ]
+)
+
+
+def _level(px: np.ndarray) -> float:
+    return float(px[:, :, :3].sum()) / (px.shape[0] * px.shape[1] * min(px.shape[2], 3))
+
+
+def _seed_places(index: int, size: int, k: int) -> list[int]:
+    """The pixels of the index-th frame that are at equal strides of 1, 2, ... frames of this size taken together."""
+    every = (j * m * size // min(k, m * size) for m in range(index + 1, schemas.COLOR_LAST + 2) for j in range(min(k, m * size)))
+    return sorted({at - index * size for at in every if at // size == index})
+
+
+def reduced(frames: DataFrame, need: Iterable[str], k: int = 3) -> DataFrame:
+    """The frames under the caps of what is needed, each as little more than those metrics take; map-only."""
+    need = frozenset(need)
+    caps = {n: LAST[n] for n in need}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, images in slices.images(batches, 2):
+            rows = []
+            for v, i, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), images, strict=True):
+                px = kernels.decoded(image)
+                row: list = [v, i, *[None] * 9]
+                if px is not None:
+                    if i <= max(caps.get("brightness", -1), caps.get("consistency", -1)):
+                        row[2] = _level(px)
+                    if i <= max(caps.get("motion", -1), caps.get("scenes", -1)):
+                        row[3] = kernels.gray(px).tobytes()
+                    row[7:] = [px.shape[0] * px.shape[1], px.shape[1], px.shape[0], px.shape[2]]
+                    if i <= caps.get("colors", -1):
+                        packed = kernels.packed_colors(kernels.color_rows(px))
+                        values, counts = np.unique(packed, return_counts=True)
+                        row[4], row[5] = values.astype("<i4").tobytes(), counts.astype("<i4").tobytes()
+                        row[6] = [{"at": at, "color": int(packed[at])} for at in _seed_places(i, len(packed), k)]
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _REDUCED, strict=True)], schema=_REDUCED)
+
+    capped = frames.filter(F.col("frame_index").between(0, max(caps.values()))).select("video_id", "frame_index", "image")
+    return capped.mapInArrow(run, REDUCED)
+
+
+class _Video:
+    """One video's frames as they come, in order."""
+
+    def __init__(self, video: int | None, threshold: float, k: int):
+        self.video, self.threshold, self.k = video, threshold, k
+        self.levels: list[tuple[int, float]] = []
+        self.changes: list[tuple[int, float]] = []
+        self.before: np.ndarray | None = None
+        self.colors: list[tuple] = []
+        self.first: tuple = (None, None, None)
+
+    def add(self, i: int, level, plane, colors, counts, seeds, pixels, *shape) -> None:
+        if level is not None:
+            self.levels.append((i, level))
+        now = None if plane is None else np.frombuffer(plane, np.uint8).astype(np.int16)
+        if i > 0 and now is not None and self.before is not None and len(now) == len(self.before):
+            self.changes.append((i, int(np.abs(now - self.before).sum(dtype=np.int64)) / len(now)))
+        self.before = now
+        if colors is not None:
+            self.colors.append((np.frombuffer(colors, "<i4"), np.frombuffer(counts, "<i4"), seeds, pixels))
+        if i == 0:
+            self.first = shape
+
+    def _clusters(self) -> list[list[float]] | None:
+        if not self.colors:
+            return None
+        total, k = sum(c[3] for c in self.colors), self.k
+        seeds = []
+        for j in range(min(k, total)):
+            at = j * total // min(k, total)
+            for _, _, places, pixels in self.colors:
+                if at < pixels:
+                    break
+                at -= pixels
+            # exactly there where the frames are of one size, as a video's are; else the nearest that was kept
+            seeds.append(min(places, key=lambda s: abs(s["at"] - at))["color"] if places else 0)
+        packed, weights = np.concatenate([c[0] for c in self.colors]).astype(np.int64), np.concatenate([c[1] for c in self.colors])
+        values, at = np.unique(packed, return_inverse=True)
+        return [list(c) for c in kernels.clusters(values, np.bincount(at, weights=weights), np.array(seeds, dtype=np.int64))]
+
+    def row(self) -> tuple:
+        mean = lambda x: sum(x) / len(x) if x else None
+        steady = [x for i, x in self.levels if i <= schemas.CONSISTENCY_LAST]
+        return (
+            self.video,
+            mean([x for i, x in self.levels if i <= schemas.BRIGHTNESS_LAST]),
+            mean([x for i, x in self.changes if i <= schemas.MOTION_LAST]),
+            [i for i, x in self.changes if x > self.threshold],
+            mean(steady),
+            float(np.std(steady)) if steady else None,
+            self._clusters(),
+            *self.first,
+        )
+
+
+def summaries(frames: DataFrame, need: Iterable[str] = LAST, threshold: float = 30.0, k: int = 3) -> DataFrame:
+    """One row a video that has frames: the raw values of the needed metrics, null for the others."""
 
-def _decoded(image: dict | None) -> np.ndarray | None:
-    if image is None or image["data"] is None or (image["width"] or -1) <= 0 or (image["height"] or -1) <= 0:
-        return None
-    return kernels.pixels(image["data"], image["height"], image["width"], image["nChannels"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video: _Video | None = None
+        for batch in batches:
+            done = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if video is None or video.video != row[0]:
+                    if video is not None:
+                        done.append(video.row())
+                    video = _Video(row[0], threshold, k)
+                video.add(*row[1:])
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), _SUMMARY, strict=True)], schema=_SUMMARY)
+        if video is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(video.row(), _SUMMARY, strict=True)], schema=_SUMMARY)
 
+    ordered = reduced(frames, need, k).repartition("video_id").sortWithinPartitions("video_id", "frame_index")
+    return ordered.mapInArrow(run, SUMMARY)
 
-def frame_brightness(frames: DataFrame, last: int) -> DataFrame:
-    """(video_id, frame_index, brightness) of the frames up to ``last``; map-only."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = []
-            for px in map(_decoded, b.column(2).to_pylist()):
-                values.append(None if px is None else float(px[:, :, :3].sum()) / (px.shape[0] * px.shape[1] * min(px.shape[2], 3)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(values, pa.float64())], names=["video_id", "frame_index", "brightness"])
-
-    capped = frames.filter(F.col("frame_index") <= last).select("video_id", "frame_index", "image")
-    return capped.mapInArrow(run, T.StructType([_ID, _INDEX, T.StructField("brightness", T.DoubleType())]))
-
-
-def frame_differences(frames: DataFrame, last: int = schemas.SCENE_LAST) -> DataFrame:
-    """(video_id, frame_index, sad, pixels): summed absolute gray difference to the frame before, frames 1..last.
-
-    The gray plane (a byte a pixel) is what gets shuffled; a partition streams its frames in order and keeps one plane.
-    """
-
-    def planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [None if px is None else kernels.gray(px).tobytes() for px in map(_decoded, b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["video_id", "frame_index", "plane"])
-
-    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        video, before = None, None
-        for b in batches:
-            out: list[tuple] = []
-            for v, i, plane in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                now = None if plane is None else np.frombuffer(plane, np.uint8).astype(np.int16)
-                if v == video and i > 0 and before is not None and now is not None and len(now) == len(before):
-                    out.append((v, i, int(np.abs(now - before).sum(dtype=np.int64)), len(now)))
-                video, before = v, now
-            columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["video_id", "frame_index", "sad", "pixels"])
-
-    capped = frames.filter(F.col("frame_index") <= last).select("video_id", "frame_index", "image")
-    gray = capped.mapInArrow(planes, T.StructType([_ID, _INDEX, T.StructField("plane", T.BinaryType())]))
-    ordered = gray.repartition("video_id").sortWithinPartitions("video_id", "frame_index")
-    return ordered.mapInArrow(differences, T.StructType([_ID, _INDEX, T.StructField("sad", T.LongType()), T.StructField("pixels", T.LongType())]))
+def consistency(mean: Column, spread: Column) -> Column:
+    return F.when(mean.isNull(), -1.0).when(mean <= 0, 0.0).otherwise(spread / mean)
+
+
+def color_lists(colors: Column, order: str = "bgr") -> Column:
+    """Centres without their sizes, in the asked order of channels; [] where there are none."""
+    slots = (1, 2, 3) if order == "bgr" else (3, 2, 1)
+    return F.coalesce(F.transform(colors, lambda c: F.array(*(F.element_at(c, i) for i in slots))), F.array().cast("array<array<double>>"))
+
+
+def _with(videos: DataFrame, frames: DataFrame, need: str, **options) -> DataFrame:
+    """The videos with the raw values of one metric; ``_`` keeps them apart from the videos' columns."""
+    raw = summaries(frames, [need], **options)
+    raw = raw.select([F.col(c).alias(f"_{c}") for c in raw.columns])
+    return videos.join(raw, F.col("video_id") == F.col("_video_id"), "left")
 
 
 def video_brightness(videos: DataFrame, frames: DataFrame) -> DataFrame:
     """Unweighted mean of frame brightness; -1.0 for a video without frames."""
-    per = frame_brightness(frames, schemas.BRIGHTNESS_LAST).groupBy("video_id").agg(F.avg("brightness").alias("b"))
-    return videos.select("video_id").join(per, "video_id", "left").select("video_id", F.coalesce("b", F.lit(-1.0)).alias("average_brightness"))
+    return _with(videos, frames, "brightness").select("video_id", F.coalesce("_brightness", F.lit(-1.0)).alias("average_brightness"))
 
 
 def video_motion_score(videos: DataFrame, frames: DataFrame) -> DataFrame:
     """Mean absolute gray difference over the first differences; 0.0 where there is none."""
-    d = frame_differences(frames, schemas.MOTION_LAST)
-    per = d.groupBy("video_id").agg(F.avg(F.col("sad") / F.col("pixels")).alias("m"))
-    return videos.select("video_id").join(per, "video_id", "left").select("video_id", F.coalesce("m", F.lit(0.0)).alias("motion_score"))
+    return _with(videos, frames, "motion").select("video_id", F.coalesce("_motion", F.lit(0.0)).alias("motion_score"))
 
 
 def video_scene_changes(videos: DataFrame, frames: DataFrame, threshold: float = 30.0) -> DataFrame:
     """Ascending indices of frames that differ from the one before by more than the threshold; [] where none does."""
-    d = frame_differences(frames).filter(F.col("sad") / F.col("pixels") > threshold)
-    per = d.groupBy("video_id").agg(F.array_sort(F.collect_list("frame_index")).alias("s"))
-    return videos.select("video_id").join(per, "video_id", "left").select("video_id", F.coalesce("s", F.array().cast("array<int>")).alias("scene_changes"))
+    return _with(videos, frames, "scenes", threshold=threshold).select("video_id", F.coalesce("_scenes", F.array().cast("array<int>")).alias("scene_changes"))
 
 
 def video_color_consistency(videos: DataFrame, frames: DataFrame) -> DataFrame:
     """Coefficient of variation (population) of frame brightness: lower is steadier; -1.0 without frames."""
-    b = frame_brightness(frames, schemas.CONSISTENCY_LAST)
-    per = b.groupBy("video_id").agg(F.stddev_pop("brightness").alias("s"), F.avg("brightness").alias("m"))
-    value = F.when(F.col("m").isNull(), -1.0).when(F.col("m") <= 0, 0.0).otherwise(F.col("s") / F.col("m"))
-    return videos.select("video_id").join(per, "video_id", "left").select("video_id", value.alias("color_consistency"))
+    return _with(videos, frames, "consistency").select("video_id", consistency(F.col("_mean"), F.col("_spread")).alias("color_consistency"))
 
 
 def video_dominant_colors(videos: DataFrame, frames: DataFrame, k: int = 3, order: str = "bgr") -> DataFrame:
     """Clusters of the pixels of the first ten frames together."""
-    slots = (0, 1, 2) if order == "bgr" else (2, 1, 0)
+    return _with(videos, frames, "colors", k=k).select("video_id", color_lists(F.col("_colors"), order).alias("dominant_colors"))
+
+
+def first_frames(videos: DataFrame, frames: DataFrame) -> DataFrame:
+    """video_id, path and the first frame itself as ``image``; null where there is none or it has no payload."""
+    image = F.col("image")
+    good = (image["width"] > 0) & (image["height"] > 0) & (image["nChannels"] > 0) & (F.length(image["data"]) >= image["width"].cast("long") * image["height"] * image["nChannels"])
+    first = frames.filter(F.col("frame_index") == 0).select("video_id", F.when(good, image).alias("image"))
+    return videos.select("video_id", "path").join(first, "video_id", "left")
 
-    def cluster(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("frame_index")
-        rows = [kernels.color_rows(px) for px in map(_decoded, table.column("image").to_pylist()) if px is not None]
-        found = kernels.dominant_colors(np.concatenate(rows), k) if rows else []
-        kind = pa.schema([("video_id", pa.int64()), ("c", pa.list_(pa.list_(pa.float64())))])
-        return pa.table([[key[0].as_py()], [[[c[i] for i in slots] for c in found]]], schema=kind)
 
-    capped = frames.filter(F.col("frame_index") <= schemas.COLOR_LAST).select("video_id", "frame_index", "image")
-    per = capped.groupBy("video_id").applyInArrow(cluster, "video_id long, c array<array<double>>")
-    empty = F.array().cast("array<array<double>>")
-    return videos.select("video_id").join(per, "video_id", "left").select("video_id", F.coalesce("c", empty).alias("dominant_colors"))
+def first_frame_columns(width: Column, height: Column, channels: Column, path: Column) -> dict[str, Column]:
+    there = width.isNotNull()
+    info = F.when(there, F.struct(width.alias("width"), height.alias("height"), channels.alias("channels")))
+    return {
+        "first_frame_extracted": there,
+        "first_frame_info": info,
+        "is_grayscale": F.coalesce(channels == 1, F.lit(True)),  # a video without frames counts as gray
+        "first_frame_path": F.when(there, first_frame_name(path)),
+    }
 
 
 def video_first_frame(videos: DataFrame, frames: DataFrame) -> DataFrame:
-    """Whether there is a first frame, its shape, and whether the video counts as gray (it does without frames)."""
-    first = frames.filter(F.col("frame_index") == 0).select("video_id", F.struct("image.width", "image.height", F.col("image.nChannels").alias("channels")).alias("first_frame_info"))
-    joined = videos.select("video_id", "path").join(first, "video_id", "left")
-    there = F.col("first_frame_info").isNotNull()
-    return joined.select(
-        "video_id",
-        there.alias("first_frame_extracted"),
-        "first_frame_info",
-        F.coalesce(F.col("first_frame_info.channels") == 1, F.lit(True)).alias("is_grayscale"),
-        F.when(there, first_frame_name(F.col("path"))).alias("first_frame_path"),
-    )
+    """Whether there is a first frame, its shape, and whether the video counts as gray."""
+    image = F.col("image")
+    columns = first_frame_columns(image["width"], image["height"], image["nChannels"], F.col("path"))
+    return first_frames(videos, frames).select("video_id", *(c.alias(n) for n, c in columns.items()))
 
 
 def duration(videos: DataFrame) -> DataFrame:

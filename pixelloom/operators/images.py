@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelloom.functions import kernels
+from pixelloom.functions import kernels, slices
 
 STATS = T.StructType(
     [
@@ -74,12 +74,9 @@ def image_aspect_ratio(image: Column) -> Column:
 
 
 def _stats(image: dict | None, need: frozenset[str], k: int, low: int, high: int) -> dict | None:
-    if image is None or image["data"] is None or (image["width"] or -1) <= 0 or (image["height"] or -1) <= 0:
+    px = kernels.decoded(image)
+    if px is None:
         return None
-    size = image["height"] * image["width"] * image["nChannels"]
-    if image["nChannels"] <= 0 or len(image["data"]) < size:
-        return None
-    px = kernels.pixels(image["data"], image["height"], image["width"], image["nChannels"])
     out: dict = dict.fromkeys(f.name for f in STATS)
     out["n"] = px.shape[0] * px.shape[1]
     g = kernels.gray(px) if need & {"low", "lap", "edges", "gray_hist"} else None
@@ -168,13 +165,11 @@ def image_metrics(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            images = batch.column(batch.schema.names.index("_image")).to_pylist()
+        for batch, images in slices.images(batches, last):
             stats = [_stats(x, need, k, edge_low, edge_high) for x in images]
-            names = [c for c in batch.schema.names if c != "_image"]
-            arrays = [batch.column(batch.schema.names.index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(stats, type=stats_type)], names=[*names, "_stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(stats, type=stats_type)], names=[*batch.schema.names[:-1], "_stats"])
 
+    last = len(source.columns) - 1
     out = source.mapInArrow(run, schema)
     inherited = [F.col(f"`{f.name}`") for f in schema if f.name not in ("_stats", "_channels")]
     return out.select(*inherited, *(_scalar(m, k, order).alias(m) for m in metrics if m in NEEDS))

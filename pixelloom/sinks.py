@@ -8,9 +8,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.functions import jpeg, kernels, slices
+from pixelloom.functions.classify import first_frame_name
+from pixelloom.operators.frames import first_frames
+
 
 def _clean(x):
     """Absent keys instead of nulls, as plain Python values."""
@@ -59,30 +64,33 @@ def png(data: bytes, width: int, height: int, channels: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
 
 
-def save_first_frames(videos: DataFrame, frames: DataFrame, folder: str) -> DataFrame:
-    """Write the first frame of each video as ``<video_id>_<stem>_first_frame.png`` on shared storage.
+def save_first_frames(videos: DataFrame, frames: DataFrame, folder: str, *, unique: bool = False, kind: str = "jpg") -> DataFrame:
+    """Write the first frame of each video as ``<stem>_first_frame.jpg`` (or ``.png``) on shared storage.
 
-    Returns (video_id, saved, path).  The id in the name keeps videos of equal stems apart.
+    Returns (video_id, saved, path), one row a video.  ``unique`` puts the id before the stem, which keeps videos of equal
+    stems apart; without it the last one written stays.  A frame that can't be written gives saved = false.
     """
-    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\z", 1), r"(?s)(.)\.[^.]*\z", "$1")
-    first = frames.filter(F.col("frame_index") == 0).select("video_id", "image")
-    named = videos.select("video_id", stem.alias("stem")).join(first, "video_id", "left")
-
-    def run(batches):
-        import pyarrow as pa
+    if kind not in ("jpg", "png"):
+        raise ValueError("kind must be jpg or png")
 
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, images in slices.images(batches, 2):
             out = []
-            for v, s, image in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                path, ok = os.path.join(folder, f"{v}_{s}_first_frame.png"), False
-                if image is not None and image["data"] is not None:
+            for v, name, image in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), images, strict=True):
+                px = kernels.decoded(image)
+                path, ok = os.path.join(folder, f"{v}_{name}" if unique else name), px is not None
+                if ok:
                     part = f"{path}.{os.getpid()}"
-                    with open(part, "wb") as f:
-                        f.write(png(image["data"], image["width"], image["height"], image["nChannels"]))
-                    os.replace(part, path)  # a repeated attempt writes the same bytes
-                    ok = True
+                    try:
+                        with open(part, "wb") as f:
+                            f.write(jpeg.encode(px) if kind == "jpg" else png(image["data"], image["width"], image["height"], image["nChannels"]))
+                        os.replace(part, path)  # a repeated attempt writes the same bytes
+                    except OSError:
+                        ok = False
                 out.append((v, ok, path if ok else None))
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.string())], names=["video_id", "saved", "path"])
 
+    name = F.regexp_replace(first_frame_name(F.col("path")), r"jpg\z", kind)
+    named = first_frames(videos, frames).select("video_id", name.alias("name"), "image")
     return named.mapInArrow(run, "video_id long, saved boolean, path string")
