@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pixelloom.functions.classify import IMAGE_PATTERN, VIDEO_PATTERN
-from pixelloom.plans.views import QUANT, SUFFIXES
+from pixelloom.plans.views import QUANT, SUFFIXES, WIDE
 
 # gray pixels: image_id, i, y, x, g; colour pixels: image_id, i, y, x, b, g, r, v (luma)
 _PX = f"""q AS (SELECT vec_id, p - 1 AS i, {QUANT.format(v='embedding[p]')} AS v
@@ -54,15 +54,19 @@ def _kmeans(source: str, key: str, steps: int = 10, k: int = 3) -> str:
     return ",\n".join(ctes) + f"\nSELECT CAST({key} AS BIGINT) AS {key}, CAST(k AS INT) AS k, round(b, 4) AS b, round(g, 4) AS g, round(r, 4) AS r FROM c{steps}"
 
 
-def _laplacian(source: str) -> str:
+def _laplacian(source: str, w: int = 8, h: int = 8) -> str:
     return f"""lap AS (SELECT p.image_id, u.v + d.v + l.v + r.v - 4 * p.v AS l FROM {source} p
   JOIN {source} u ON u.image_id = p.image_id AND u.x = p.x AND u.y = abs(p.y - 1)
-  JOIN {source} d ON d.image_id = p.image_id AND d.x = p.x AND d.y = 7 - abs(7 - (p.y + 1))
+  JOIN {source} d ON d.image_id = p.image_id AND d.x = p.x AND d.y = {h - 1} - abs({h - 1} - (p.y + 1))
   JOIN {source} l ON l.image_id = p.image_id AND l.y = p.y AND l.x = abs(p.x - 1)
-  JOIN {source} r ON r.image_id = p.image_id AND r.y = p.y AND r.x = 7 - abs(7 - (p.x + 1))),
+  JOIN {source} r ON r.image_id = p.image_id AND r.y = p.y AND r.x = {w - 1} - abs({w - 1} - (p.x + 1))),
 blur AS (SELECT image_id, (64e0 * sum(CAST(l * l AS BIGINT)) - CAST(sum(l) AS DOUBLE) * CAST(sum(l) AS DOUBLE)) / 4096e0 AS blur FROM lap GROUP BY 1)"""
 
 
+def _canny(w: int = 8, h: int = 8) -> str:
+    return _CANNY.replace("least(7, greatest(0, p.x", f"least({w - 1}, greatest(0, p.x").replace("least(7, greatest(0, p.y", f"least({h - 1}, greatest(0, p.y")
+
+
 _CANNY = """o AS (SELECT unnest(range(-1, 2)) AS d),
 sob AS (SELECT p.image_id, p.y, p.x, sum(n.v * a.d * (2 - abs(b.d))) AS gx, sum(n.v * b.d * (2 - abs(a.d))) AS gy
   FROM gray p, o a, o b, gray n WHERE n.image_id = p.image_id AND n.x = least(7, greatest(0, p.x + a.d)) AND n.y = least(7, greatest(0, p.y + b.d)) GROUP BY 1, 2, 3),
@@ -86,7 +90,23 @@ def oracle_sql() -> dict[str, str]:
     bad = "vec_id % 50 = 49"
     z = lambda c, n, d: f"round((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / (CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1e0 ELSE stddev_pop({c}) OVER () END), {d}) AS {n}"
     color = lambda body: f"WITH {_PX} {body}"
+    wide = _PX.replace("gray AS (SELECT vec_id AS image_id, i, i // 8 AS y, i % 8 AS x", f"gray AS (SELECT vec_id AS image_id, i, i // {WIDE[0]} AS y, i % {WIDE[0]} AS x")
     return {
+        "file_image_features": f"""WITH RECURSIVE {wide}, {_STATS}, {_laplacian('gray', *WIDE)}, {_canny(*WIDE)}, {_ENTROPY.format('gray')}
+  SELECT image_id, NULL::VARCHAR AS error, {WIDE[0]} AS width, {WIDE[1]} AS height, {WIDE[0]} / {WIDE[1]}e0 AS aspect_ratio, 3 AS channels, false AS is_grayscale, round(bright, 6) AS average_brightness,
+  round(blur, 4) AS blur_score, round(CASE WHEN hi = 0 THEN 0e0 ELSE hi / (lo + 1e-6) END, 4) AS contrast_ratio, round(e, 6) AS entropy, n AS edge_count
+  FROM st JOIN blur USING (image_id) JOIN edges USING (image_id) JOIN ent USING (image_id)""",
+        "file_image_native": """SELECT CASE WHEN vec_id % 3 = 0 THEN 'webp' ELSE 'png' END AS format, CASE WHEN vec_id % 3 = 0 THEN 3 ELSE 1 END AS channels, vec_id % 3 <> 0 AS is_grayscale, count(*) AS n
+  FROM embeddings GROUP BY ALL""",
+        "file_folder": "SELECT 'image' AS kind, CASE WHEN vec_id % 3 = 0 THEN 'webp' ELSE 'png' END AS format, count(*) AS n FROM embeddings GROUP BY ALL",
+        "file_video_features": f"""WITH {_FR}, sc AS (SELECT video_id, count(*) AS n FROM m_scene GROUP BY 1)
+  SELECT video_id || '.avi' AS filename, NULL::VARCHAR AS error, frame_count, fps, side AS width, side AS height, round(CASE WHEN fps > 0 THEN frame_count / fps ELSE -1e0 END, 6) AS duration_seconds,
+  true AS first_frame_extracted, true AS first_frame_saved, video_id || '_first_frame.jpg' AS first_frame_path, round(b.x, 6) AS average_brightness, false AS is_grayscale,
+  round(coalesce(m.x, 0e0), 6) AS motion_score, CAST(coalesce(sc.n, 0) AS INT) AS n_scenes, 3 AS n_colors, CASE WHEN fps > 0 THEN 0e0 ELSE -1e0 END AS frame_rate_stability,
+  round(k.x, 6) AS color_consistency FROM videos v JOIN firsts USING (video_id) LEFT JOIN m_bright b USING (video_id) LEFT JOIN m_motion m USING (video_id) LEFT JOIN sc USING (video_id) LEFT JOIN m_cons k USING (video_id)""",
+        "file_video_colors": f"""WITH {_FR}, src AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY f, i) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n, b, g, r
+  FROM fpx WHERE f <= 9), {_kmeans('src', 'video_id')}""",
+        "file_report": f"""WITH {_PX} SELECT image_id, 0 AS videos, CAST({WIDE[0]} AS BIGINT) AS width, CAST({WIDE[1]} AS BIGINT) AS height, round(sum(g) / 64e0, 6) AS average_brightness, NULL::VARCHAR AS error FROM gray GROUP BY 1""",
         "file_router": f"""WITH {_FILES} SELECT path, regexp_matches(path, '{IMAGE_PATTERN}') AS is_image, regexp_matches(path, '{VIDEO_PATTERN}') AS is_video, {_KIND} AS kind,
   regexp_replace(regexp_extract(path, '([^/]*)\\z', 1), '(?s)(.)\\.[^.]*\\z', '\\1') || '_first_frame.jpg' AS still FROM files""",
         "file_kind_counts": f"WITH {_FILES} SELECT {_KIND} AS kind, count(*) AS n FROM files GROUP BY 1",

@@ -12,7 +12,7 @@ from pixelloom.functions.classify import first_frame_name, is_image_file, is_vid
 from pixelloom.operators import frames as V
 from pixelloom.operators import images as I
 from pixelloom.operators import recipes, records
-from pixelloom.plans import views
+from pixelloom.plans import file_queries, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,4 +164,5 @@ def queries() -> dict[str, Query]:
         "motion_activity": motion_activity,
         "ml_features_scaled": ml_features_scaled,
         "batch_summary": batch_summary,
+        **file_queries.queries(),
     }

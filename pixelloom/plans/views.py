@@ -13,6 +13,8 @@ from pixelloom import schemas
 
 # Quantiser range and the side of the square images.
 SIDE = 8
+#: Width and height of the images that aren't square.
+WIDE = (16, 4)
 QUANT = "CAST(least(255, greatest(0, floor((CAST({v} AS DOUBLE)+0.6e0)/1.2e0*256))) AS INT)"
 #: Suffixes given to generated paths, by part key modulo their number.
 SUFFIXES = (".jpg", ".JPG", ".jpeg", ".png", ".bmp", ".tiff", ".tif", ".gif", ".webp", ".mp4", ".avi", ".mov", ".mkv", ".WMV", ".flv", ".webm", ".m4v", "", ".txt", ".jpg?x=1")
@@ -50,6 +52,14 @@ def gray_images(spark: SparkSession, sf_dir: str, corrupt: bool = False) -> Data
     return quantised(spark, sf_dir).select(F.col("vec_id").alias("image_id"), name.alias("filename"), _image(px, 1, 0, name).alias("image"))
 
 
+def wide_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gray images as 16 by 4 pixels, named by format: every third is WebP, the others are PNG."""
+    px, i = F.col("px"), F.col("vec_id")
+    name = F.concat(F.lit("g"), i.cast("string"), F.when(i % 3 == 0, ".webp").otherwise(".png"))
+    image = F.struct(name.alias("origin"), F.lit(WIDE[1]).alias("height"), F.lit(WIDE[0]).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), _bytes(px).alias("data"))
+    return quantised(spark, sf_dir).select(i.alias("image_id"), name.alias("name"), image.cast(schemas.IMAGE_DDL).alias("image"))
+
+
 def color_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 8x8 B,G,R image per three consecutive vectors; an incomplete last triple is left out."""
     q = quantised(spark, sf_dir)

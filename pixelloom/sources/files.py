@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,7 +38,7 @@ def existing(paths: DataFrame, path: str = "path") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [p is not None and os.path.exists(p.removeprefix("file://")) for p in b.column(column).to_pylist()]
+            found = [p is not None and os.path.exists(re.sub("^file:/+", "/", p)) for p in b.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.bool_())], names=[*b.schema.names, "exists"])
 
     column = paths.columns.index(path)
@@ -103,10 +104,10 @@ class _EmptyReader(DataSourceReader):
             fs, root = filesystem(path)
             info = fs.get_file_info(root)
             found += [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        return [_Folder(i.path) for i in found if not i.is_file or (i.size == 0 and is_image_path(i.path))] or [_Folder("")]
+        return [_Folder(i.path) for i in found if not i.is_file or (i.size == 0 and is_image_path(i.path))]
 
     def read(self, partition):
-        if partition.path:
+        if partition is not None:  # Spark reads one such partition where there is none
             fs, _ = filesystem(self.paths[0])
             info = fs.get_file_info(partition.path)
             found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(partition.path, recursive=True, allow_not_found=True))

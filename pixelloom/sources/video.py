@@ -14,6 +14,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -216,7 +217,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         found: list[str] = []
         for path in self.paths:
-            plain = path.removeprefix("file://")
+            plain = re.sub("^file:/+", "/", path)
             if os.path.isdir(plain):
                 found += sorted(p for p in glob.glob(f"{glob.escape(plain)}/**/*", recursive=True) if is_video_path(p))
             else:
@@ -224,7 +225,8 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in found]
 
     def read(self, partition):
-        yield from read_frames(partition.path, self.last)
+        if partition is not None:  # Spark reads one such partition where there is none
+            yield from read_frames(partition.path, self.last)
 
 
 class VideoFrameSource(DataSource):
