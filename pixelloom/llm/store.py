@@ -1,9 +1,7 @@
 """Shared storage and small helpers that every operator uses.
 
-Intermediate tables go below ``spark.checkpoint.dir``, which the driver and all executors reach; a temporary folder
-is used only where that setting is absent and Spark runs in one process, as in tests.  Files are written under a name
-of the attempt and become visible only through the rows of tasks that ended well, so lost executors and repeated
-attempts do no harm.
+Intermediate tables go to folders of ``pixelloom.scratch``.  Files are written under a name of the attempt and become
+visible only through the rows of tasks that ended well, so lost executors and repeated attempts do no harm.
 
 Operators that must bring a verdict back to whole rows write the rows once as block files (``blocks``).  A row is
 then known by its block and its place in it, whatever its columns are called and however often its doc_id occurs;
@@ -12,76 +10,22 @@ verdicts travel to the block, and rows never travel to the verdicts.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.scratch import filesystem, scratch, shared_dir  # noqa: F401
+
 #: Bytes of text that a Python operator handles at once inside one Arrow batch.
 SLICE_BYTES = 1 << 21
 #: Bytes of text of a block file.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 _RESIDENT: dict[str, object] = {}
-_SCRATCH: list[list[str]] = []
-
-
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI or plain path, and the path in it."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for one run of an operator; removed when the driver ends, or with the ``scratch`` around it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    # a path without a scheme lies in Spark's default file system
-    root = spark._jvm.org.apache.hadoop.fs.Path(base)
-    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    fs, local = filesystem(path)
-    fs.create_dir(local, recursive=True)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
-    else:
-        atexit.register(_remove, path)
-    return path
-
-
-def _remove(path: str) -> None:
-    fs, local = filesystem(path)
-    try:
-        fs.delete_dir(local)
-    except OSError:
-        pass
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """What operators store inside goes at its end: for callers that have written the result somewhere else by then."""
-    _SCRATCH.append([])
-    try:
-        yield
-    finally:
-        for path in _SCRATCH.pop():
-            _remove(path)
 
 
 def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -106,12 +50,11 @@ def resident(name: str, make: Callable[[], object]) -> object:
 
 def vacate() -> None:
     """Give what an earlier operator left in this Python worker back to the system: workers outlive stages."""
-    if _RESIDENT:
-        _RESIDENT.clear()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-        if trim is not None:
-            trim(0)
+    _RESIDENT.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
 
 
 def text_hash(column: str = "text") -> Column:

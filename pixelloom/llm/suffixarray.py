@@ -55,11 +55,21 @@ class Family:
         """Sorted distinct suffixes become a level, and take in every level that isn't larger."""
         while self.levels and len(self.levels[-1][0]) <= len(bytes_):
             b, d = self.levels.pop()
-            b, d = np.concatenate([b, bytes_]), np.concatenate([d, least])
-            merged = np.argsort(b, kind="stable")  # two sorted runs
-            b, d = b[merged], d[merged]
-            new = np.concatenate([[True], b[1:] != b[:-1]])
-            bytes_, least = b[new], np.minimum.reduceat(d, np.nonzero(new)[0])
+            if not len(bytes_):
+                bytes_, least = b, d
+                continue
+            # each side's places in the merged order; what both have stands twice
+            at = np.searchsorted(b, bytes_) + np.arange(len(bytes_))
+            merged = np.empty(len(b) + len(bytes_), dtype=b.dtype)
+            firsts = np.empty(len(merged), dtype=np.int64)
+            mine = np.zeros(len(merged), dtype=bool)
+            mine[at] = True
+            merged[at], firsts[at] = bytes_, least
+            merged[~mine], firsts[~mine] = b, d
+            del b, d
+            new = np.ones(len(merged), dtype=bool)
+            new[1:] = merged[1:] != merged[:-1]
+            bytes_, least = (merged, firsts) if new.all() else (merged[new], np.minimum.reduceat(firsts, np.nonzero(new)[0]))
         if len(bytes_):
             self.levels.append((bytes_, least))
 

@@ -38,7 +38,7 @@ from pixelloom.llm.suffixarray import LAST, LENGTH, Batch, Family
 
 GRAM, HEAVY = 24, 2048
 #: Bytes of text that numpy handles at once; bytes of all texts a partition; suffixes of a batch.
-PIECE, PARTITION, BATCH = 1 << 16, 4 << 20, 1 << 18
+PIECE, PARTITION, BATCH = 1 << 16, 2 << 20, 1 << 17
 _U = np.uint64
 
 
@@ -192,23 +192,35 @@ class Pieces:
         size = np.concatenate([(runs.last - runs.first + LENGTH)[whole], np.full(len(at), LENGTH)]).astype(np.int64)
         part = _parts(np.concatenate([runs.h[whole], _window_hash(texts, doc[len(whole) :], at)]), work.parts)
         by = np.argsort(part, kind="stable")
-        self.work, self.doc, self.start, self.size, part = work, doc[by], start[by], size[by], part[by]
-        known: dict[bytes, int] = {}  # equal strings have equal anchors, so they are in one partition
-        self.of = np.fromiter((known.setdefault(texts[d][s : s + z], len(known)) for d, s, z in zip(self.doc.tolist(), self.start.tolist(), self.size.tolist(), strict=True)), np.int64, len(part))
-        self.least = np.full(len(known), LAST)
+        self.work, self.doc, self.start, self.size = work, doc[by].astype(np.int32), start[by].astype(np.int32), size[by].astype(np.uint8)
+        self.places = np.searchsorted(part[by], np.arange(work.parts + 1))
+        self.of = np.zeros(len(by), dtype=np.int32)
+        first: list[np.ndarray] = []  # of each distinct string, the first piece that is it
+        self.begins = np.zeros(work.parts + 1, dtype=np.int64)
+        for p in range(work.parts):
+            a, z = self.places[p], self.places[p + 1]
+            known: dict[bytes, int] = {}  # equal strings have equal anchors, so they are in one partition
+            own = np.fromiter((known.setdefault(raw, len(known)) for raw in self._strings(range(a, z))), np.int32, z - a)
+            first.append(a + np.unique(own, return_index=True)[1])
+            self.of[a:z] = own + self.begins[p]
+            self.begins[p + 1] = self.begins[p] + len(known)
+        self.first = np.concatenate(first)
+        self.least = np.full(len(self.first), LAST)
         np.minimum.at(self.least, self.of, work.order[self.doc])
-        self.strings = list(known)
-        first = np.unique(self.of, return_index=True)[1]
-        self.begins = np.searchsorted(part[first], np.arange(work.parts + 1))
-        counts = self.size[first] - (LENGTH - 1)
-        self.suffixes = np.concatenate([[0], np.cumsum(counts)])
+        self.suffixes = np.concatenate([[0], np.cumsum(self.size[self.first].astype(np.int64) - (LENGTH - 1))])
+
+    def _strings(self, pieces: range | np.ndarray) -> Iterator[bytes]:
+        texts = self.work.texts
+        own = slice(pieces.start, pieces.stop) if isinstance(pieces, range) else pieces
+        for d, s, n in zip(self.doc[own].tolist(), self.start[own].tolist(), self.size[own].tolist(), strict=True):
+            yield texts[d][s : s + n]
 
     def rows(self) -> Iterator[tuple[int, bytes]]:
         pack = zstandard.ZstdCompressor(level=1)
         for p in np.nonzero(np.diff(self.begins))[0].tolist():
             a, z = self.begins[p], self.begins[p + 1]
-            sizes = np.fromiter(map(len, self.strings[a:z]), np.uint8, z - a)
-            yield p, int(z - a).to_bytes(4, "little") + pack.compress(self.least[a:z].tobytes() + sizes.tobytes() + b"".join(self.strings[a:z]))
+            own = self.first[a:z]
+            yield p, int(z - a).to_bytes(4, "little") + pack.compress(self.least[a:z].tobytes() + self.size[own].tobytes() + b"".join(self._strings(own)))
 
     def covered(self, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, start and end of what goes: every window that an earlier document has."""
@@ -222,7 +234,7 @@ class Pieces:
         hit = yes[np.repeat(self.suffixes[self.of[~later]], n) + at]
         begin = np.repeat(self.start[~later], n)[hit] + at[hit]
         doc = np.concatenate([self.doc[later], np.repeat(self.doc[~later], n)[hit]])
-        return doc, np.concatenate([self.start[later], begin]), np.concatenate([(self.start + self.size)[later], begin + LENGTH])
+        return doc, np.concatenate([self.start[later], begin]), np.concatenate([self.start[later] + self.size[later].astype(np.int64), begin + LENGTH])
 
 
 def _window_hash(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
