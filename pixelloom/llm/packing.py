@@ -3,16 +3,23 @@
 A document's ids are cut into whole longest windows; what remains is routed to the smallest tier that holds it.
 Tiers are packed from the longest to the shortest: a window starts with a remainder of its tier, its gap is filled
 with the longest remainders of shorter tiers that fit, and the last of the gap by cutting one more.  Every window is
-therefore full, and its size is a power of two.  What is left at the end of a task is cut along the binary digits
-of its length, so that nothing is padded there either.  Windows of one tier are grouped into steps of equal tokens.
+therefore full, and its size is a power of two.
+
+Windows of one tier are grouped into steps of equal tokens, and the steps that are closed together are balanced: windows
+are dealt, the dearest first, to the step that costs least so far, where a window costs the sum of its pieces' squares
+(what attention within pieces costs).
+
+Each task packs its own rows in pools of bounded size, so memory doesn't grow with the input.  Of the whole input only
+what is left at the end of a task, less than one window, is dealt anew: the rests of ``GATHER`` tasks are packed
+together, and only the last rest of those is cut along the binary digits of its length, so that nothing is padded.
 
-Each task packs its own rows in pools of bounded size, so nothing is shuffled and memory doesn't grow with the input.
 Rows: null text counts as empty (one piece: the end id); repeated rows and doc_ids are packed as documents of their
 own; a null doc_id stays null; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -20,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pixelloom.llm import store
 from pixelloom.llm.library_tokens import encoder
@@ -27,6 +35,8 @@ from pixelloom.llm.library_tokens import encoder
 TIERS = (256, 512, 1024, 2048, 4096)
 #: Tokens packed together, and tokens of one step.
 POOL, STEP = 1 << 20, 1 << 16
+#: Tasks whose rests are packed together.
+GATHER = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_id long"
 
 #: (length, document, start) of a run of ids that has no window yet; lists of them are kept sorted.
@@ -85,59 +95,121 @@ def _binary(pieces: list[Run], top: int) -> list[tuple[int, list[Run]]]:
     return out
 
 
+#: A piece before it has a step: document, start, length, checksum, the document's ids, window, offset, size of the window.
+Piece = tuple[int | None, int, int, int, int, int, int, int]
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+#: Pieces have null ``rest``; one more row of a task has all that no window holds yet, as an Arrow stream, and the task's number in ``sequence_id``.
+STAGED = SCHEMA + ", rest binary"
+_REST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+
+
+def balanced(costs: list[int], each: int) -> list[int]:
+    """The step of every window: steps of ``each`` windows (the last of fewer), the dearest windows first to the cheapest step."""
+    steps = -(-len(costs) // each)
+    room = [each] * (steps - 1) + [len(costs) - each * (steps - 1)] if steps else []
+    heap = [(0, s) for s in range(steps)]
+    out = [0] * len(costs)
+    for i in sorted(range(len(costs)), key=lambda i: (-costs[i], i)):
+        total, s = heapq.heappop(heap)
+        out[i] = s
+        room[s] -= 1
+        if room[s]:
+            heapq.heappush(heap, (total + costs[i], s))
+    return out
+
+
 class _Task:
-    """The windows of one task: documents in, pieces out."""
+    """The windows of one task: runs of ids in, pieces out.  ``number`` keeps windows and steps of tasks apart."""
 
-    def __init__(self, partition: int):
-        self.docs: list[tuple[int | None, bytes]] = []
+    def __init__(self, number: int):
+        #: doc_id, place of the first id held here in its document, the ids, and how many the document has
+        self.docs: list[tuple[int | None, int, bytes, int]] = []
         self.runs: list[Run] = []
         self.tokens = 0
-        self.sequence = self.step = partition << 33
-        self.steps: dict[int, tuple[int, int]] = {}  # tier: step, tokens in it
-
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.runs.append((len(ids) // 4, len(self.docs), 0))
-        self.docs.append((doc_id, ids))
-        self.tokens += len(ids) // 4
+        self.sequence = self.step = number << 32
+        self.open: dict[int, list[list[Piece]]] = {}  # tier: windows that have no step yet
 
-    def _step(self, size: int) -> int:
-        step, used = self.steps.get(size, (-1, STEP))
-        if used + size > STEP:
-            step, used, self.step = self.step, 0, self.step + 1
-        self.steps[size] = (step, used + size)
-        return step
+    def add(self, doc_id: int | None, ids: bytes, start: int = 0, doc_tokens: int | None = None) -> None:
+        n = len(ids) // 4
+        self.runs.append((n, len(self.docs), 0))
+        self.docs.append((doc_id, start, ids, n if doc_tokens is None else doc_tokens))
+        self.tokens += n
 
     def pool(self, last: bool) -> pa.RecordBatch:
-        windows, rest = pack(self.runs, last=last)
-        rows = []
+        """Pack what is there; all of it with ``last``, which a task's rest doesn't get (see ``rest``)."""
+        windows, left = pack(self.runs, last=last)
         for size, pieces in windows:
-            at, step = 0, self._step(size)
+            at, own = 0, []
             for n, doc, start in pieces:
-                doc_id, ids = self.docs[doc]
-                rows.append((doc_id, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, self.sequence, at, size, step))
+                doc_id, first, ids, total = self.docs[doc]
+                own.append((doc_id, first + start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), total, self.sequence, at, size))
                 at += n
+            self.open.setdefault(size, []).append(own)
             self.sequence += 1
-        kept = {doc: self.docs[doc] for _, doc, _ in rest}
+        kept = {doc: self.docs[doc] for _, doc, _ in left}
         index = {doc: i for i, doc in enumerate(kept)}
-        self.docs, self.runs = list(kept.values()), [(n, index[doc], s) for n, doc, s in rest]
+        self.docs, self.runs = list(kept.values()), [(n, index[doc], s) for n, doc, s in left]
         self.tokens = sum(r[0] for r in self.runs)
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+        return self._closed(last)
+
+    def _closed(self, last: bool) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for size, windows in self.open.items():
+            each = STEP // size
+            now = windows if last else windows[: len(windows) // each * each]
+            self.open[size] = windows[len(now) :]
+            steps = balanced([sum(p[2] ** 2 for p in w) for w in now], each)
+            rows += [(*p, self.step + s) for s, w in zip(steps, now, strict=True) for p in w]
+            self.step += max(steps, default=-1) + 1
+        columns = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
+
+    def rest(self) -> pa.Table:
+        """What no window holds, with its place in its document."""
+        out = []
+        for n, doc, s in self.runs:
+            doc_id, first, ids, total = self.docs[doc]
+            out.append((doc_id, first + s, total, ids[4 * s : 4 * (s + n)]))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, _REST.types, strict=True)], schema=_REST)
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """One row a piece: where it lies in its document and in its window, its checksum, the window's tier and step."""
 
+    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], names=[*_NAMES, "rest"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
-        task = _Task(TaskContext.get().partitionId())
+        number = TaskContext.get().partitionId()
+        task = _Task(number << 1)
         for rows, texts in store.slices(batches):
             for doc_id, text in zip(rows.column(0).to_pylist(), texts, strict=True):
                 task.add(doc_id, enc.ids(text) + end)
                 if task.tokens >= POOL:
-                    yield task.pool(last=False)
-        yield task.pool(last=True)
-
-    return store.texts(docs).mapInArrow(run, SCHEMA)
+                    yield pieces(task.pool(last=False))
+        yield pieces(task.pool(last=False))
+        rest = task.rest()
+        task.runs = []
+        yield pieces(task.pool(last=True))  # closes the last steps
+        if rest.num_rows:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _REST) as out:
+                out.write_table(rest)
+            numbers = [pa.array([number if c == "sequence_id" else 0], pa.int64()) for c in _NAMES]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[*_NAMES, "rest"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        """The rests of some tasks, each less than a window."""
+        table = table.sort_by("sequence_id")
+        task = _Task((table.column("sequence_id")[0].as_py() << 1) + 1)
+        for body in table.column("rest").to_pylist():
+            rows = pa.ipc.open_stream(body).read_all()
+            for doc_id, start, total, ids in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                task.add(doc_id, ids, start, total)
+        return pa.Table.from_batches([task.pool(last=True)])
+
+    first = store.staged(store.texts(docs).mapInArrow(run, STAGED), "packing")
+    rests = first.filter(F.col("rest").isNotNull()).select(F.floor(F.col("sequence_id") / GATHER).alias("part"), "sequence_id", "rest")
+    return first.filter(F.col("rest").isNull()).drop("rest").unionByName(rests.groupBy("part").applyInArrow(gather, SCHEMA))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -102,21 +103,31 @@ def test_byte_bpe_equals_library(spark, odd):
     assert {d: bytes(b).decode() for d, (b,) in back.items()} == dict(pairs(odd))
 
 
+def library(path):
+    """A tokenizer of the library as it comes."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @pytest.mark.parametrize("path", [JSON, WORD])
-def test_chunked_encoding_equals_whole(path):
-    enc, rnd = encoder(path), random.Random(1)
-    for n in range(4000):
-        text = "".join(rnd.choice("ab 'sÉ.\nΣ̈aA9½漢!\t") for _ in range(n % 30))
-        assert np.frombuffer(enc.ids(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids, text
+def test_chunked_encoding_equals_library(path):
+    enc, lib, rnd = encoder(path), library(path), random.Random(1)
+    texts = ["".join(rnd.choice("ab 'sÉ.\nΣ̈aA9½漢!\t") for _ in range(n % 30)) for n in range(4000)]
+    marks = ["<|endoftext|>", "<|startoftext|>"]
+    texts += [f"{a}{m}{b}{n}{c}" for m in marks for n in [*marks, ""] for a in ("", "a ", "word") for b in ("", " ", "x") for c in ("", " b", "s")]
+    texts += ["<|ENDOFTEXT|>", "<|endoftext|", "< |endoftext|>", "hello <|endoftext|> world"]
+    for text in texts:
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
 def test_token_files(spark, odd, empty, tmp_path):
     out = str(tmp_path / "a")
     (tmp_path / "a").mkdir()
     token_files.write(odd, JSON, out)
-    want, start = {}, 0
+    want, start, lib = {}, 0, library(JSON)
     for d, t in sorted(pairs(odd)):
-        ids = np.array([*encoder(JSON).tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 0], "<u4")
         want[d] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert by_id(token_files.read(spark, out)) == want
@@ -127,15 +138,15 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert token_files.read(spark, str(tmp_path / "b")).collect() == []
 
 
-def test_packing_places_every_id_once(spark, odd):
-    rows = packing.packed(odd, WORD).collect()
-    enc = encoder(WORD)
-    by_doc, by_seq = {}, {}
+def check_packing(rows, docs):
+    """Every id in one piece, windows gapless and powers of two, steps of one tier and of their size."""
+    lib = library(WORD)
+    by_doc, by_seq, by_step = {}, {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
-        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for d, t in pairs(odd):
-        ids = np.array([*enc.tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["tier"], r["step_id"]))
+    for d, t in docs:
+        ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4")
         at = 0
         for start, n, crc, total in sorted(by_doc[d]):
             assert (start, total, crc) == (at, len(ids), zlib.crc32(ids[at : at + n].tobytes()))
@@ -143,10 +154,31 @@ def test_packing_places_every_id_once(spark, odd):
         assert at == len(ids)
     for parts in by_seq.values():
         at = 0
-        for offset, n in sorted(parts):
+        for offset, n, _, _ in sorted(parts):
             assert offset == at and n > 0
             at += n
-        assert at <= 4096 and at & (at - 1) == 0
+        (tier,), (step,) = {p[2] for p in parts}, {p[3] for p in parts}
+        assert at == tier <= 4096 and at & (at - 1) == 0
+        by_step.setdefault(step, []).append((tier, sum(n * n for _, n, _, _ in parts)))
+    for windows in by_step.values():
+        assert len({t for t, _ in windows}) == 1 and sum(t for t, _ in windows) <= packing.STEP
+    return by_seq, by_step
+
+
+def test_packing_places_every_id_once(spark, odd):
+    by_seq, _ = check_packing(packing.packed(odd, WORD).collect(), pairs(odd))
+    # what the tasks leave is packed together: one cut along binary digits, not one a task
+    assert sum(1 for parts in by_seq.values() if parts[0][2] < packing.TIERS[0]) <= 8
+
+
+def test_packing_steps_are_balanced(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(2)
+    _, by_step = check_packing(packing.packed(docs, WORD).collect(), pairs(docs))
+    full = [sum(c for _, c in w) for w in by_step.values() if len(w) * w[0][0] == packing.STEP and w[0][0] == 4096]
+    assert len(full) > 3 and max(full) < 1.3 * min(full)
+    costs = [5, 1, 9, 7, 3, 3, 8]
+    steps = packing.balanced(costs, 3)
+    assert Counter(steps) == {0: 3, 1: 3, 2: 1} and packing.balanced([], 4) == []
 
 
 def test_masks_cover_every_difference():
