@@ -281,4 +281,4 @@ def identified(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         for rows, texts in store.slices(batches):
             yield rows.filter(pa.array([x != "und" for x, _ in own.predict(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return store.small_batches(docs).mapInArrow(run, docs.schema)

@@ -25,6 +25,7 @@ from pixelloom.scratch import filesystem, scratch, shared_dir  # noqa: F401
 SLICE_BYTES = 1 << 21
 #: Bytes of text of a block file.
 BLOCK_BYTES = 8 << 20
+BATCH = "4m"
 _RESIDENT: dict[str, object] = {}
 
 
@@ -35,9 +36,17 @@ def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Batches to Python of ``BATCH`` bytes instead of Spark's 64 MB, which both sides hold, unless the session says otherwise."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) in ("67108864b", "67108864", "64m"):
+        conf.set(key, BATCH)
+    return df
+
+
 def texts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The key and the text, null text as the empty one.  Other columns are not read."""
-    return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    return small_batches(df).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
 def resident(name: str, make: Callable[[], object]) -> object:
@@ -72,7 +81,7 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
 
 def blocks(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
     """Write the rows, with all their columns, as Arrow files of about ``BLOCK_BYTES`` of text; (blk, path, n, size) of each file."""
-    folder = shared_dir(docs.sparkSession, name)
+    folder = shared_dir(small_batches(docs).sparkSession, name)
     column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
