@@ -14,8 +14,9 @@ first written as block files in shared storage, and no text is shuffled but what
    so its windows are dealt one by one by their own hash.
 
 Hashes only choose partitions and let suffixes through the filter; every match is one of bytes.  Texts that are equal
-as a whole are told by SHA-256.  Rows of the exchanges hold a block's keys for one partition; partitions grow with the
-bytes (``PARTITION`` each), so the memory of a task does not grow with the input.
+as a whole are told by SHA-256.  The number of partitions grows with the bytes (``PARTITION`` each), so the memory of a
+task does not grow with the input; exchanges go through ``mail``, so their rows grow with the bytes as well, not with
+blocks times partitions.
 
 Rows: null text counts as empty; a null doc_id counts as larger than any other; rows that share a doc_id remove
 nothing from each other; of two equal texts the one with the larger doc_id goes whole if it has ``LENGTH`` bytes;
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm import store
+from pixelloom.llm import mail, store
 from pixelloom.llm.suffixarray import LAST, LENGTH, Batch, Family
 
 GRAM, HEAVY = 24, 2048
@@ -128,9 +129,23 @@ def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((_mix(keys * _U(0xC2B2AE3D27D4EB4F)) >> _U(24)) % _U(parts)).astype(np.int64)
 
 
-def _bits(replies: list[dict] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for r in replies or []:
-        yield r["p"], np.unpackbits(np.frombuffer(r["yes"], np.uint8)), np.unpackbits(np.frombuffer(r["crowded"] or b"", np.uint8))
+def _ranges(parts: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Begin and end of each number in a sorted array."""
+    cuts = np.concatenate([[0], np.nonzero(np.diff(parts))[0] + 1, [len(parts)]])
+    return {int(parts[a]): (a, z) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if z > a}
+
+
+def _bits(replies: list[bytes] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Partition, yes bits and crowded bits of the messages that came back."""
+    for parcel in replies or []:
+        for p, body in mail.frames(parcel):
+            n = int.from_bytes(body[:4], "little")
+            yield p, np.unpackbits(np.frombuffer(body, np.uint8, count=n, offset=4)), np.unpackbits(np.frombuffer(body, np.uint8, offset=4 + n))
+
+
+def _reply(yes: np.ndarray, crowded: np.ndarray | None = None) -> bytes:
+    bits = np.packbits(yes).tobytes()
+    return len(bits).to_bytes(4, "little") + bits + (np.packbits(crowded).tobytes() if crowded is not None and crowded.any() else b"")
 
 
 class Work:
@@ -157,21 +172,20 @@ class Work:
         np.maximum.at(high, at, runs.doc)
         p = _parts(keys, self.parts)
         by = np.argsort(p, kind="stable")
-        self.anchor_part, self.anchor_at = p, np.empty(len(keys), np.int64)
-        self.anchor_at[by] = np.arange(len(by))
-        self.anchor_at, self.begins = self.anchor_at[at], np.searchsorted(p[by], np.arange(self.parts + 1))
+        place = np.empty(len(keys), np.int64)
+        place[by] = np.arange(len(by))
+        self.anchor_at, self.ranges = place[at], _ranges(p[by])
         self.sent_keys = (keys[by] & _U(0xFFFFFFFF)).astype(np.uint32)
         self.sent_kinds = (np.minimum(kinds, 127) | ((low != high) << 7)).astype(np.uint8)[by]
 
     def anchor_rows(self) -> Iterator[tuple[int, bytes]]:
-        for p in np.nonzero(np.diff(self.begins))[0].tolist():
-            a, z = self.begins[p], self.begins[p + 1]
+        for p, (a, z) in self.ranges.items():
             yield p, self.sent_keys[a:z].tobytes() + self.sent_kinds[a:z].tobytes()
 
-    def match(self, replies: list[dict] | None) -> Pieces:
+    def match(self, replies: list[bytes] | None) -> Pieces:
         yes, crowded = np.zeros(len(self.sent_keys), dtype=bool), np.zeros(len(self.sent_keys), dtype=bool)
         for p, y, c in _bits(replies):
-            a, z = self.begins[p], self.begins[p + 1]
+            a, z = self.ranges[p]
             yes[a:z] = y[: z - a]
             if len(c):
                 crowded[a:z] = c[: z - a]
@@ -193,17 +207,17 @@ class Pieces:
         part = _parts(np.concatenate([runs.h[whole], _window_hash(texts, doc[len(whole) :], at)]), work.parts)
         by = np.argsort(part, kind="stable")
         self.work, self.doc, self.start, self.size = work, doc[by].astype(np.int32), start[by].astype(np.int32), size[by].astype(np.uint8)
-        self.places = np.searchsorted(part[by], np.arange(work.parts + 1))
         self.of = np.zeros(len(by), dtype=np.int32)
-        first: list[np.ndarray] = []  # of each distinct string, the first piece that is it
-        self.begins = np.zeros(work.parts + 1, dtype=np.int64)
-        for p in range(work.parts):
-            a, z = self.places[p], self.places[p + 1]
+        first = [np.zeros(0, np.int64)]  # of each distinct string, the first piece that is it
+        self.ranges: dict[int, tuple[int, int]] = {}  # of distinct strings, by partition
+        count = 0
+        for p, (a, z) in _ranges(part[by]).items():
             known: dict[bytes, int] = {}  # equal strings have equal anchors, so they are in one partition
             own = np.fromiter((known.setdefault(raw, len(known)) for raw in self._strings(range(a, z))), np.int32, z - a)
             first.append(a + np.unique(own, return_index=True)[1])
-            self.of[a:z] = own + self.begins[p]
-            self.begins[p + 1] = self.begins[p] + len(known)
+            self.of[a:z] = own + count
+            self.ranges[p] = (count, count + len(known))
+            count += len(known)
         self.first = np.concatenate(first)
         self.least = np.full(len(self.first), LAST)
         np.minimum.at(self.least, self.of, work.order[self.doc])
@@ -217,16 +231,15 @@ class Pieces:
 
     def rows(self) -> Iterator[tuple[int, bytes]]:
         pack = zstandard.ZstdCompressor(level=1)
-        for p in np.nonzero(np.diff(self.begins))[0].tolist():
-            a, z = self.begins[p], self.begins[p + 1]
+        for p, (a, z) in self.ranges.items():
             own = self.first[a:z]
             yield p, int(z - a).to_bytes(4, "little") + pack.compress(self.least[a:z].tobytes() + self.size[own].tobytes() + b"".join(self._strings(own)))
 
-    def covered(self, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def covered(self, replies: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, start and end of what goes: every window that an earlier document has."""
         yes = np.zeros(self.suffixes[-1], dtype=bool)
         for p, y, _ in _bits(replies):
-            a, z = self.suffixes[self.begins[p]], self.suffixes[self.begins[p + 1]]
+            a, z = (self.suffixes[i] for i in self.ranges[p])
             yes[a:z] = y[: z - a]
         later = self.work.order[self.doc] > self.least[self.of]
         n = (self.suffixes[1:] - self.suffixes[:-1])[self.of[~later]]
@@ -248,38 +261,26 @@ def _window_hash(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> np.ndar
     return out
 
 
-PAYLOAD = "p int, blk long, body binary"
-REPLY = "blk long, p int, yes binary, crowded binary"
-_REPLY = pa.schema([("blk", pa.int64()), ("p", pa.int32()), ("yes", pa.binary()), ("crowded", pa.binary())])
-
-
-def _filter(table: pa.Table) -> pa.Table:
+def _filter(messages: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """First round: the anchors of one partition that two documents may have, and those with very many runs."""
-    store.vacate()
-    bodies = table.column("body").to_pylist()
-    keys = [np.frombuffer(b, np.uint32, count=len(b) // 5) for b in bodies]
-    kinds = [np.frombuffer(b, np.uint8, offset=4 * k.size) for b, k in zip(bodies, keys, strict=True)]
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    keys = [np.frombuffer(b, np.uint32, count=len(b) // 5) for _, b in messages]
+    kinds = [np.frombuffer(b, np.uint8, offset=4 * k.size) for (_, b), k in zip(messages, keys, strict=True)]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
     every = np.concatenate(kinds).astype(np.int64)
     yes = (np.bincount(at, weights=1 + (every >> 7)) >= 2)[at]
     crowded = (np.bincount(at, weights=every & 127) > HEAVY)[at]
-    out: list[tuple] = []
-    p = table.column("p")[0].as_py()
     end = 0
-    for blk, k in zip(table.column("blk").to_pylist(), keys, strict=True):
+    for (blk, _), k in zip(messages, keys, strict=True):
         begin, end = end, end + k.size
         if yes[begin:end].any():
-            heavy = crowded[begin:end]
-            out.append((blk, p, np.packbits(yes[begin:end]).tobytes(), np.packbits(heavy).tobytes() if heavy.any() else None))
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, _REPLY.types, strict=True)], schema=_REPLY)
+            yield blk, _reply(yes[begin:end], crowded[begin:end])
 
 
-def _match(table: pa.Table) -> pa.Table:
+def _match(messages: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """Second round: which suffixes of one partition an earlier document has, by one family of suffix arrays."""
-    store.vacate()
     unpack = zstandard.ZstdDecompressor()
     least, sizes, raw = [], [], []
-    for body in table.column("body").to_pylist():
+    for _, body in messages:
         n, plain = int.from_bytes(body[:4], "little"), unpack.decompress(body[4:])
         least.append(np.frombuffer(plain, np.int64, count=n))
         sizes.append(np.frombuffer(plain, np.uint8, count=n, offset=8 * n).astype(np.int64))
@@ -299,12 +300,14 @@ def _match(table: pa.Table) -> pa.Table:
             step = np.arange(n[own].sum()) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
             whose = np.repeat(order[own], n[own])
             yes[np.repeat(first[own], n[own]) + step] = family.earlier(Batch(text, np.repeat(begin[own], n[own]) + step, whose), whose)
-    out, end, p = [], 0, table.column("p")[0].as_py()
-    for blk, c in zip(table.column("blk").to_pylist(), counts, strict=True):
+    end = 0
+    for (blk, _), c in zip(messages, counts, strict=True):
         start, end = end, end + c
         if yes[start:end].any():
-            out.append((blk, p, np.packbits(yes[start:end]).tobytes(), None))
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, _REPLY.types, strict=True)], schema=_REPLY)
+            yield blk, _reply(yes[start:end])
+
+
+Messages = Iterator[tuple[int, bytes]]
 
 
 class Removals:
@@ -315,7 +318,7 @@ class Removals:
         self.column, self.key = docs.columns.index(text), docs.columns.index(key)
         blocks = self._copies(store.blocks(docs, "suffix-blocks", text))
         wanted = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        size = blocks.agg(F.sum("size")).first()[0] or 0
+        size, self.count = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
         self.parts = max(2 * wanted, size // PARTITION)
         one = self._ask(blocks, "r1", lambda w, row: w.anchor_rows(), _filter)
         self.blocks = self._ask(one, "r2", lambda w, row: w.match(row["r1"]).rows(), _match)
@@ -341,26 +344,23 @@ class Removals:
         copies = meta.join(first, "h").filter("place > least").groupBy("blk").agg(F.collect_list("row").alias("copies"))
         return store.staged(blocks.join(copies, "blk", "left"), "suffix-table")
 
-    def _ask(self, blocks: DataFrame, name: str, rows_of: Callable[[Work, dict], Iterator], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
-        """One round: blocks send rows to partitions, partitions answer, and the answers join the block table."""
-        work = self._work()
+    def _ask(self, blocks: DataFrame, name: str, rows_of: Callable[[Work, dict], Messages], answer: Callable[[list[tuple[int, bytes]]], Messages]) -> DataFrame:
+        """One round: blocks write to partitions, partitions answer, and the answers join the block table."""
+        work, parts, count = self._work(), self.parts, self.count
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in b.to_pylist():
-                    rows: list[tuple[int, bytes]] = []
-                    size = 0
-                    for p, body in rows_of(work(row), row):
-                        rows.append((p, body))
-                        size += len(body)
-                        if size >= store.SLICE_BYTES:
-                            yield _payload(row["blk"], rows)
-                            rows, size = [], 0
-                    if rows:
-                        yield _payload(row["blk"], rows)
-
-        replies = store.dealt(blocks).mapInArrow(send, PAYLOAD).groupBy("p").applyInArrow(answer, REPLY)
-        grouped = replies.groupBy("blk").agg(F.collect_list(F.struct("p", "yes", "crowded")).alias(name))
+                    yield from mail.post(row["blk"], rows_of(work(row), row), parts)
+
+        def resolve(table: pa.Table) -> pa.Table:
+            store.vacate()
+            messages = sorted(m for parcel in table.column("parcel").to_pylist() for m in mail.frames(parcel))
+            return pa.Table.from_batches(mail.post(table.column("to")[0].as_py(), answer(messages), count))
+
+        asked = mail.deliver(store.dealt(blocks).mapInArrow(send, mail.POSTED), parts)
+        replies = mail.deliver(asked.groupBy("to").applyInArrow(resolve, mail.POSTED), count)
+        grouped = replies.groupBy(F.col("to").alias("blk")).agg(F.collect_list("parcel").alias(name))
         return store.staged(blocks.join(grouped, "blk", "left"), f"suffix-{name}")
 
     def _work(self) -> Callable[[dict], Work]:
@@ -380,10 +380,6 @@ class Removals:
         return store.dealt(self.blocks).mapInArrow(run, schema)
 
 
-def _payload(blk: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([blk] * len(rows), pa.int64()), pa.array([body for _, body in rows], pa.binary())], names=["p", "blk", "body"])
-
-
 def _spans(work: Work, row: dict) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each document of the block the starts and ends of its maximal removed runs of bytes."""
     doc, start, end = work.match(row["r1"]).covered(row["r2"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelloom.functions import webp as codec
-from pixelloom.llm import ann, byte_bpe, components, langid, linededup, packing, queries, simhash, store, suffixarray, suffixdedup, token_files, toxicity, webp
+from pixelloom.llm import ann, byte_bpe, components, langid, linededup, mail, packing, queries, simhash, store, suffixarray, suffixdedup, token_files, toxicity, webp
 from pixelloom.llm.library_tokens import encoder
 
 SF = "/root/testdata/sf0.001"
@@ -117,10 +117,12 @@ def test_crowded_anchors_small_blocks_and_colliding_hashes(spark, odd, monkeypat
     monkeypatch.setattr(suffixdedup, "BATCH", 300)
     monkeypatch.setattr(suffixdedup, "HEAVY", 1)
     monkeypatch.setattr(store, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(mail, "FAN", 4096 if weak else 3)
+    monkeypatch.setattr(mail, "HELD", 5000)
     if weak:  # most hashes collide: filter, partitions and anchors' kinds all see few values
         strong = suffixdedup._mix
         monkeypatch.setattr(suffixdedup, "_mix", lambda x: strong(x) >> np.uint64(61))
-    with by_value(suffixdedup), by_value(store):
+    with by_value(suffixdedup), by_value(store), by_value(mail):
         assert by_id(suffixdedup.digests(odd)) == brute.suffix_dedup(pairs(odd))
 
 
