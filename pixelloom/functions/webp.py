@@ -5,14 +5,13 @@ and the predictor, cross-colour, subtract-green and palette transforms.  ``decod
 ``decode_many`` reads many at once: each is a lane, and all lanes take one symbol a step in numpy.  Lanes take prefix
 codes of any shape and references; files with a colour cache or a meta image are read one by one.
 
-Writing: ``encode_gray`` stores samples of eight bits as palette images.  The palette holds the values that occur and,
-where there are few, several pixels are bundled in one; repeated stretches become back references; lengths of the
-prefix codes follow the counts of each image.
+Writing: ``encode_gray`` stores samples of eight bits as green, from which the subtract-green transform makes gray.  Where few
+values occur a palette bundles several pixels in one; repeated stretches become back references; lengths of the prefix
+codes follow the counts of each image.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -60,31 +59,29 @@ class Bits:
 _FLIPPED = [np.zeros(1, dtype=np.int64)]
 for _n in range(1, 16):
     _FLIPPED.append(np.concatenate([_FLIPPED[-1] * 2, _FLIPPED[-1] * 2 + 1]))
+_FLIPPED_LIST = [x.tolist() for x in _FLIPPED]
 
 
 class Prefix:
     """A canonical prefix code as a table over its longest code: symbol and length; one symbol alone takes no bits."""
 
     def __init__(self, lengths: list[int]):
-        n = np.array(lengths, dtype=np.int64)
-        used = np.nonzero(n)[0]
-        self.only = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
+        used = sorted((n, s) for s, n in enumerate(lengths) if n)
+        self.only = used[0][1] if len(used) == 1 else 0 if not used else None
         if self.only is not None:
-            self.bits, self.table = 0, np.array([self.only << 4], dtype=np.int32)
-        else:
-            order = used[np.argsort(n[used], kind="stable")]
-            self.bits = int(n[order[-1]])
-            table = np.repeat((order << 4 | n[order]).astype(np.int32), 1 << (self.bits - n[order]))
-            if len(table) != 1 << self.bits:
-                raise ValueError("the code is not complete")
-            self.table = table[_FLIPPED[self.bits]]
-        self.plain: list[int] | None = None
+            self.bits, self.plain = 0, [self.only << 4]
+            return
+        self.bits = top = used[-1][0]
+        ordered: list[int] = []
+        for n, s in used:
+            ordered += [s << 4 | n] * (1 << top - n)
+        if len(ordered) != 1 << top:
+            raise ValueError("the code is not complete")
+        self.plain = [ordered[i] for i in _FLIPPED_LIST[top]]
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        if self.plain is None:
-            self.plain = self.table.tolist()
         first, shift = divmod(bits.at, 8)
         found = self.plain[int.from_bytes(bits.data[first : first + 3], "little") >> shift & (1 << self.bits) - 1]
         bits.at += found & 15
@@ -94,9 +91,9 @@ class Prefix:
 
 
 def _prefix(bits: Bits, size: int) -> Prefix:
-    lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
+        lengths = [0] * size
         lengths[bits.read(8 if wide else 1)] = 1
         if two:
             lengths[bits.read(8)] = 1
@@ -106,20 +103,38 @@ def _prefix(bits: Bits, size: int) -> Prefix:
         own[CODE_LENGTH_ORDER[i]] = bits.read(3)
     code = Prefix(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
-    while at < size and left > 0:
+    lengths, last = [], 8
+    table, mask = code.plain, (1 << code.bits) - 1
+    # some bytes at a time as one number, which is quicker than number by number
+    first, at = bits.at >> 3, bits.at & 7
+    part = int.from_bytes(bits.data[first : first + 64], "little")
+    while len(lengths) < size and left > 0:
         left -= 1
-        symbol = code.read(bits)
+        if at > 480:
+            first, at = first + (at >> 3), at & 7
+            part = int.from_bytes(bits.data[first : first + 64], "little")
+        found = table[part >> at & mask]
+        at += found & 15
+        symbol = found >> 4
         if symbol < 16:
-            lengths[at] = symbol
-            at, last = at + 1, symbol or last
+            lengths.append(symbol)
+            last = symbol or last
             continue
-        value, least, extra = (last, 3, 2) if symbol == 16 else (0, 3, 3) if symbol == 17 else (0, 11, 7)
-        n = least + bits.read(extra)
-        if at + n > size:
-            raise ValueError("too many code lengths")
-        lengths[at : at + n] = [value] * n
-        at += n
+        if symbol == 16:
+            n, value = 3 + (part >> at & 3), last
+            at += 2
+        elif symbol == 17:
+            n, value = 3 + (part >> at & 7), 0
+            at += 3
+        else:
+            n, value = 11 + (part >> at & 127), 0
+            at += 7
+        lengths += [value] * n
+    if len(lengths) > size:
+        raise ValueError("too many code lengths")
+    bits.at = 8 * first + at
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream ends too soon")
     return Prefix(lengths)
 
 
@@ -194,6 +209,8 @@ def _pixels(image: Coded) -> np.ndarray:
     return np.array(out, dtype=np.uint32)
 
 
+#: Steps that lanes with a reference wait at most, and bytes behind the streams that lanes may read into between two checks.
+WAIT, SPARE = 4, 512
 _EXTRA = np.array([0 if s < 4 else s - 2 >> 1 for s in range(40)], dtype=np.int64)
 _BASE = np.array([s + 1 if s < 4 else (2 + (s & 1) << (s - 2 >> 1)) + 1 for s in range(40)], dtype=np.int64)
 _DX, _DY = (np.array([n[i] for n in NEAR], dtype=np.int64) for i in (0, 1))
@@ -207,7 +224,7 @@ def _lanes(images: list[Coded]) -> list[np.ndarray]:
         at_bit[i] = 8 * start + image.bits.at
         data.append(image.bits.data)
         start += len(image.bits.data)
-    raw = np.frombuffer(b"".join([*data, bytes(16)]), dtype=np.uint8)
+    raw = np.frombuffer(b"".join([*data, bytes(2 * SPARE)]), dtype=np.uint8)
     words = raw.astype(np.uint64)
     for n in (1, 2, 4):
         words = words[:-n] | words[n:] << np.uint64(8 * n)
@@ -217,9 +234,10 @@ def _lanes(images: list[Coded]) -> list[np.ndarray]:
     for i, image in enumerate(images):
         for c, code in enumerate(image.codes[0]):
             begin[c, i], mask[c, i] = size, (1 << code.bits) - 1
-            tables.append(code.table)
-            size += len(code.table)
-    table = np.concatenate(tables)
+            tables += code.plain
+            size += len(code.plain)
+    table = np.array(tables, dtype=np.int32)
+    del tables
     total = np.array([i.width * i.height for i in images], np.int64)
     width = np.array([i.width for i in images], np.int64)
     base = np.cumsum(total) - total
@@ -241,45 +259,50 @@ def _lanes(images: list[Coded]) -> list[np.ndarray]:
 
     g_begin, g_mask = begin[0], mask[0]
     bit, here, stop, gb, gm, hue = at_bit[live], place[live], end[live], g_begin[live], g_mask[live], constant[live]
+    step = 0
     while len(live):
+        step += 1
         peek = (words[bit >> 3] >> (bit & 7).astype(np.uint64)).view(np.int64)
         found = table[gb + (peek & gm)]
-        bit = bit + (found & 15)
         symbol = found >> 4
-        ref = np.nonzero(symbol >= 256)[0]
-        if not len(ref):
-            out[here] = symbol << 8 | hue
-            if not gray:
-                bit = _colours(out, here, live, bit, look)
-            here = here + 1
+        literal = symbol < 256
+        if gray:
+            out[here] = symbol << 8 | hue  # where a reference begins, the copy overwrites it
         else:
-            lit = np.nonzero(symbol < 256)[0]
-            out[here[lit]] = symbol[lit] << 8 | hue[lit]
-            if not gray:
-                bit[lit] = _colours(out, here[lit], live[lit], bit[lit], look)
-            lanes, b, code = live[ref], bit[ref], symbol[ref] - 256
+            on = np.nonzero(literal)[0]
+            out[here[on]] = symbol[on] << 8
+            bit[on] = _colours(out, here[on], live[on], bit[on] + (found[on] & 15), look)
+        # references wait a few steps for others, as handling some costs hardly more than handling one
+        if step % WAIT == 0 or not literal.any():
+            ref = np.nonzero(~literal)[0]
+            lanes, b, code = live[ref], bit[ref] + (found[ref] & 15), symbol[ref] - 256
             length = extended(b, code)
             b = b + _EXTRA[code]
-            found = look(lanes, 4, b)
-            b = b + (found & 15)
-            code = found >> 4
+            far = look(lanes, 4, b)
+            b = b + (far & 15)
+            code = far >> 4
             near = extended(b, code)
-            bit[ref] = b + _EXTRA[code]
             close = np.minimum(near, len(NEAR)) - 1
             distance = np.where(near > len(NEAR), near - len(NEAR), np.maximum(1, _DX[close] + _DY[close] * width[lanes]))
             if (distance > here[ref] - base[lanes]).any() or (here[ref] + length > stop[ref]).any():
                 raise ValueError("a reference outside the image")
             copies.append((here[ref], length, distance))
-            step = np.ones(len(live), np.int64)
-            step[ref] = length
-            here = here + step
+            if gray:
+                bit = bit + (found & 15) * literal
+            bit[ref] = b + _EXTRA[code]
+            here = here + literal
+            here[ref] += length
+        else:
+            if gray:
+                bit = bit + (found & 15) * literal
+            here = here + literal
         left = here < stop
         if not left.all():
             gone = live[~left]
             if (bit[~left] > most_bit[gone]).any():
                 raise ValueError("the stream ends too soon")
             live, bit, here, stop, gb, gm, hue = (x[left] for x in (live, bit, here, stop, gb, gm, hue))
-        if len(live) and int(bit.max()) > 8 * len(raw) - 64:
+        if step % 16 == 0 and len(live) and int(bit.max()) > 8 * (len(raw) - SPARE):
             raise ValueError("the stream ends too soon")
     if copies:
         begins, length, distance = (np.concatenate(c) for c in zip(*copies, strict=True))
@@ -478,20 +501,30 @@ def code_lengths(counts: list[int], most: int) -> list[int]:
         for _, s in used:
             lengths[s] = 1
         return lengths
+    used.sort()
+    n = len(used)
     floor = 0
     while True:
-        heap = [(max(c, floor), i) for i, (c, _) in enumerate(used)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * len(used) - 1)
-        for node in range(len(used), 2 * len(used) - 1):
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            parent[i] = parent[j] = node
-            heapq.heapreplace(heap, (a + b, node))
+        # leaves and inner nodes both come in ascending order, so the two least are at the fronts of two queues
+        weight = [c if c > floor else floor for c, _ in used]
+        parent = [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (inner >= node or weight[leaf] <= weight[inner]):
+                    total += weight[leaf]
+                    parent[leaf] = node
+                    leaf += 1
+                else:
+                    total += weight[inner]
+                    parent[inner] = node
+                    inner += 1
+            weight.append(total)
         depth = [0] * len(parent)
         for node in range(len(parent) - 2, -1, -1):
             depth[node] = depth[parent[node]] + 1
-        if max(depth) <= most:
+        if depth[0] <= most and max(depth) <= most:
             break
         floor = 2 * floor or max(1, sum(c for c, _ in used) >> most)  # rarer symbols count as less rare
     for i, (_, s) in enumerate(used):
@@ -510,29 +543,38 @@ def canonical(lengths: list[int]) -> list[int]:
     return codes
 
 
+def _write_simple(b: Bits, *symbols: int) -> None:
+    """A code of one or two symbols below 256."""
+    value = 1 | (len(symbols) - 1) << 1 | 4 | symbols[0] << 3
+    if len(symbols) > 1:
+        value |= symbols[1] << 11
+    b.write(value, 3 + 8 * len(symbols))
+
+
 def _write_code(b: Bits, lengths: list[int]) -> None:
     """A prefix code: as one or two symbols where that will do, else its lengths with runs of zeros."""
     used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 2 and max(used, default=0) < 256:
-        used = used or [0]
-        for value, n in ((1, 1), (len(used) - 1, 1), (1, 1), *((s, 8) for s in used)):
-            b.write(value, n)
+    if len(used) <= 2 and (not used or used[-1] < 256):
+        _write_simple(b, *(used or [0]))
         return
     marks: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    i = 0
-    while i < len(lengths):
-        run = 1
-        while i + run < len(lengths) and lengths[i + run] == lengths[i] and run < 138:
-            run += 1
-        if lengths[i] == 0 and run >= 11:
-            marks.append((18, run - 11, 7))
-        elif lengths[i] == 0 and run >= 3:
-            run = min(run, 10)
-            marks.append((17, run - 3, 3))
-        else:
-            run = 1
-            marks.append((lengths[i], 0, 0))
-        i += run
+    at = 0
+    for s in [*used, len(lengths)]:
+        zeros = s - at
+        while zeros:
+            if zeros >= 11:
+                run = min(zeros, 138)
+                marks.append((18, run - 11, 7))
+            elif zeros >= 3:
+                run = zeros
+                marks.append((17, run - 3, 3))
+            else:
+                run = 1
+                marks.append((0, 0, 0))
+            zeros -= run
+        if s < len(lengths):
+            marks.append((lengths[s], 0, 0))
+        at = s + 1
     counts = [0] * 19
     for s, _, _ in marks:
         counts[s] += 1
@@ -545,10 +587,14 @@ def _write_code(b: Bits, lengths: list[int]) -> None:
         b.write(own[s], 3)
     b.write(0, 1)
     alone = sum(1 for x in own if x) == 1
-    for s, value, extra in marks:
+    value = size = 0
+    for s, more, extra in marks:
         if not alone:
-            b.write(codes[s], own[s])
-        b.write(value, extra)
+            value |= codes[s] << size
+            size += own[s]
+        value |= more << size
+        size += extra
+    b.write(value, size)
 
 
 def _marked(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -560,23 +606,30 @@ def _marked(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, d & (1 << extra) - 1, extra
 
 
-def _copies(px: np.ndarray, ends: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _copies(px: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and distance of references for the images that lie back to back, first come first served."""
     n = len(px)
-    padded = np.concatenate([px, np.zeros(3, np.uint8)]).astype(np.uint64)
-    image = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    key = padded[:n] | padded[1 : n + 1] << np.uint64(8) | padded[2 : n + 2] << np.uint64(16) | padded[3 : n + 3] << np.uint64(24) | image.astype(np.uint64) << np.uint64(32)
-    inside = np.nonzero(np.arange(n) + 4 <= ends[image])[0]
-    order = inside[np.argsort(key[inside], kind="stable")]
-    before = np.full(n + 1, -2)
-    same = key[order[1:]] == key[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
+    padded = np.concatenate([px, np.zeros(3, np.uint8)]).astype(np.uint32)
+    place = np.arange(n, dtype=np.int32)
+    four = padded[:n] << 24 | padded[1 : n + 1] << 16 | padded[2 : n + 2] << 8 | padded[3 : n + 3]
+    # four samples and their place as one number: sorted, equal samples stand together in the order of their places
+    key = four.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)
+    key.sort()
+    order = key.astype(np.uint32).view(np.int32)
+    key >>= np.uint64(32)
+    same = key[1:] == key[:-1]
+    later, earlier = order[1:][same], order[:-1][same]
+    image = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
+    own = (image[later] == image[earlier]) & (later + 4 <= ends.astype(np.int32)[image[later]])
+    before = np.full(n + 1, -2, dtype=np.int32)
+    before[later[own]] = earlier[own]
     # a stretch of places whose nearest earlier place moves along with them is one long match
-    goes_on = (before[:-1] >= 0) & (before[1:] == before[:-1] + 1)
-    stretch_end = np.minimum.accumulate(np.where(goes_on, n, np.arange(n))[::-1])[::-1]
-    length = np.where(before[:-1] >= 0, np.minimum(stretch_end - np.arange(n) + 4, MOST_COPY), 0)
+    found = before[:-1] >= 0
+    goes_on = found & (before[1:] == before[:-1] + 1)
+    stretch_end = np.minimum.accumulate(np.where(goes_on, np.int32(n), place)[::-1])[::-1]
+    length = np.where(found, np.minimum(stretch_end - place + 4, MOST_COPY), 0)
     good = length >= LEAST_COPY
-    following = np.minimum.accumulate(np.where(good, np.arange(n), n)[::-1])[::-1]
+    following = np.minimum.accumulate(np.where(good, place, np.int32(n))[::-1])[::-1]
     starts: list[int] = []
     begin = 0
     for end in ends.tolist():
@@ -590,7 +643,7 @@ def _copies(px: np.ndarray, ends: np.ndarray, widths: np.ndarray) -> tuple[np.nd
             i += size[i - begin]
         begin = end
     at = np.array(starts, dtype=np.int64)
-    return at, length[at], at - before[at]
+    return at, length[at].astype(np.int64), at - before[at]
 
 
 def encode_gray(images: list[np.ndarray]) -> list[bytes]:
@@ -601,24 +654,24 @@ def encode_gray(images: list[np.ndarray]) -> list[bytes]:
     for image in images:
         present = np.zeros(256, dtype=bool)
         present[image.ravel()] = True
-        values = np.nonzero(present)[0]
-        index = (np.cumsum(present) - 1).astype(np.uint8)[image]
+        values, index = np.nonzero(present)[0], image
         shift = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1 if len(values) <= 16 else 0
         if shift:
             each = 1 << shift
+            index = (np.cumsum(present) - 1).astype(np.uint8)[image]
             index = np.pad(index, ((0, 0), (0, -index.shape[1] % each))).reshape(len(index), -1, each)
             index = (index.astype(np.int64) << np.arange(each) * (8 >> shift)).sum(axis=2).astype(np.uint8)
-        palettes.append(values.tolist())
+        palettes.append(values.tolist() if shift else [])
         streams.append(index.ravel())
         widths.append(index.shape[1])
     px, width = np.concatenate(streams), np.array(widths)
     ends = np.cumsum([len(s) for s in streams])
-    start, length, distance = _copies(px, ends, width)
+    start, length, distance = _copies(px, ends)
     # one token a literal or reference, in the order of the stream
-    inside = np.zeros(len(px) + 1, dtype=np.int64)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, start + length, -1)
-    token = np.cumsum(inside[:-1]) == 0
+    inside = np.zeros(len(px) + 1, dtype=np.int8)
+    inside[start] += 1  # references don't overlap, so no start and no end stands twice
+    inside[start + length] -= 1
+    token = np.cumsum(inside[:-1], dtype=np.int8) == 0
     token[start] = True
     at = np.nonzero(token)[0]
     image = np.searchsorted(ends, at, side="right")
@@ -645,44 +698,69 @@ def encode_gray(images: list[np.ndarray]) -> list[bytes]:
     for more, n in ((l_extra, l_bits), (np.where(codes[1, which, d_symbol, 1] > 0, codes[1, which, d_symbol, 0], 0), codes[1, which, d_symbol, 1]), (d_extra, d_bits)):
         value[ref] |= more << bits[ref]
         bits[ref] += n
-    first = np.cumsum(bits) - bits
-    flat = (np.repeat(value, bits) >> (np.arange(int(bits.sum())) - np.repeat(first, bits)) & 1).astype(np.uint8)
+    # every image's tokens begin in a word of 64 bits of their own, behind the bits of the head's last byte
     cuts = np.searchsorted(image, np.arange(len(images) + 1))
-    first = np.append(first, len(flat))
+    lead = np.array([h.size & 7 for h in heads])
+    before = np.concatenate([[0], np.cumsum(bits)])
+    size = before[cuts[1:]] - before[cuts[:-1]] + lead
+    base = np.cumsum((size + 63) // 64) - (size + 63) // 64
+    at = before[:-1] + (64 * base + lead - before[cuts[:-1]])[image]
+    words = _or_into(int(base[-1] + (size[-1] + 63) // 64), at, value.astype(np.uint64))
+    raw = words.astype("<u8").tobytes()
     out = []
     for i, head in enumerate(heads):
-        lead = np.unpackbits(np.frombuffer(head.value.to_bytes((head.size + 7) // 8, "little"), np.uint8), bitorder="little")[: head.size]
-        out.append(container(np.packbits(np.concatenate([lead, flat[first[cuts[i]] : first[cuts[i + 1]]]]), bitorder="little").tobytes()))
+        whole = head.size >> 3
+        front = head.value.to_bytes(whole + 1, "little")
+        body = raw[8 * base[i] : 8 * base[i] + (int(size[i]) + 7) // 8]
+        joined = bytes([front[whole] | body[0]]) + body[1:] if body else b""
+        out.append(container(front[:whole] + (joined or front[whole : whole + (1 if lead[i] else 0)])))
     return out
 
 
+def _or_into(n: int, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """n words of 64 bits that hold each value from its bit on; places ascend and values don't overlap."""
+    words = np.zeros(n + 1, dtype=np.uint64)
+    if len(at):
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        first = np.nonzero(np.diff(word, prepend=-1))[0]
+        words[word[first]] = np.bitwise_or.reduceat(value << shift, first)
+        over = np.nonzero(shift > 0)[0]
+        high = value[over] >> (np.uint64(64) - shift[over])
+        over, high = over[high > 0], high[high > 0]
+        words[word[over] + 1] |= high  # one value at most runs on from each word
+    return words[:n]
+
+
 def _gray_head(width: int, height: int, values: list[int], green: list[int], far: list[int]) -> Bits:
-    """Everything before the pixels: sizes, the palette transform, and the five codes."""
+    """Everything before the pixels: sizes, the transforms, and the five codes.
+
+    Samples are stored as green alone, and the subtract-green transform makes red and blue equal to it.  With ``values`` a
+    palette of them comes between, whose pixels are bundled.
+    """
     b = Bits()
-    for value, n in ((width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (3, 2), (len(values) - 1, 8), (0, 1)):
-        b.write(value, n)
-    steps = [v - w for v, w in zip(values, [0, *values], strict=False)]
-    counts = [0] * 256
-    for s in steps:
-        counts[s] += 1
-    lengths = code_lengths(counts, MOST_BITS)
-    codes = canonical(lengths)
-    alone = sum(1 for n in lengths if n) == 1
-    for more in (24, 0, 0):  # green, red, blue
-        _write_code(b, lengths + [0] * more)
-    alpha = [1] + [0] * 254 + [1] if len(values) > 1 else [0] * 255 + [1]
-    _write_code(b, alpha)
-    _write_code(b, [1] + [0] * 39)
-    for i, s in enumerate(steps):
-        if not alone:
-            for _ in range(3):
+    b.write(width - 1 | height - 1 << 14 | 1 << 32 | 2 << 33, 35)  # no alpha, version 0; subtract-green
+    if values:
+        b.write(1 | 3 << 1 | len(values) - 1 << 3, 12)  # the palette, and no cache for it
+        steps = [v - w for v, w in zip(values, [0, *values], strict=False)]
+        counts = [0] * 280
+        for s in steps:
+            counts[s] += 1
+        lengths = code_lengths(counts, MOST_BITS)
+        codes = canonical(lengths)
+        alone = sum(1 for n in lengths if n) == 1
+        _write_code(b, lengths)
+        _write_simple(b, 0)
+        _write_simple(b, 0)
+        _write_simple(b, *((0, 255) if len(values) > 1 else (255,)))  # alpha: 255, then the difference 0
+        _write_simple(b, 0)
+        for i, s in enumerate(steps):
+            if not alone:
                 b.write(codes[s], lengths[s])
-        if len(values) > 1:
-            b.write(0 if i else 1, 1)
-    for value in (0, 0, 0):  # no further transform, no cache, no meta image
-        b.write(value, 1)
+            if len(values) > 1:
+                b.write(0 if i else 1, 1)
+    b.write(0, 3)  # no further transform, no cache, no meta image
     _write_code(b, green)
     for value in (0, 0, 255):
-        _write_code(b, [0] * value + [1] + [0] * (255 - value))
+        _write_simple(b, value)
     _write_code(b, far)
     return b
