@@ -24,7 +24,7 @@ from pixelloom.llm import store
 
 WIDTH, ROWS = 192, 48
 #: Bytes of text whose files are read in step, and of samples that are written at once.
-READ_BYTES, WRITE_BYTES = 6 << 20, 2 << 20
+READ_BYTES, WRITE_BYTES = 6 << 20, 1 << 18
 
 
 def payload(text: bytes) -> bytes:
