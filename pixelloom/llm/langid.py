@@ -35,7 +35,7 @@ from pixelloom.llm.chunks import MARKS
 PER_LANGUAGE, WORDS, LONGEST, PIECE, STEPS, EVIDENCE = 600, 15_000, 24, 6, 3, 12
 UNKNOWN = 1e-9
 #: Bytes of known words with their scores, and of one step of the forward algorithm.
-CACHE_BYTES, STEP_BYTES = 48 << 20, 24 << 20
+CACHE_BYTES, STEP_BYTES = 32 << 20, 6 << 20
 _BASE = np.uint64(0x100000001B3)
 
 

@@ -11,6 +11,10 @@ from pixelloom.llm import store
 from pixelloom.llm.chunks import MARKS, Bounded, chunk_text, chunks
 
 
+#: Bytes of words and chunks whose ids a worker keeps.
+CACHE_BYTES = 108 << 20
+
+
 def _spelling() -> dict[int, int]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -29,7 +33,7 @@ class LibraryEncoder:
     whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,8 +41,8 @@ class LibraryEncoder:
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.vocab_size = self.tok.get_vocab_size()
         self.normalizer, self.pre, self.model = self.tok.normalizer, self.tok.pre_tokenizer, self.tok.model
-        self.words = Bounded(self._word, 24 << 20, 8 << 20)
-        self.cache = Bounded(self._key, 24 << 20, 0)
+        self.words = Bounded(self._word, cache * 4 // 9, cache // 9)
+        self.cache = Bounded(self._key, cache * 4 // 9, 0)
 
     def ids(self, text: str) -> bytes:
         if not text:
@@ -69,5 +73,5 @@ class LibraryEncoder:
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
 
-def encoder(path: str) -> LibraryEncoder:
-    return store.resident(f"library encoder {path}", lambda: LibraryEncoder(path))
+def encoder(path: str, cache: int = CACHE_BYTES) -> LibraryEncoder:
+    return store.resident(f"library encoder {path} {cache}", lambda: LibraryEncoder(path, cache))

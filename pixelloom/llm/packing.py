@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm import store
-from pixelloom.llm.library_tokens import encoder
+from pixelloom.llm.library_tokens import CACHE_BYTES, encoder
 
 TIERS = (256, 512, 1024, 2048, 4096)
 #: Tokens packed together, and tokens of one step.
@@ -173,14 +173,17 @@ class _Task:
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 4, _REST.types, strict=True)], schema=_REST)
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """One row a piece: where it lies in its document and in its window, its checksum, the window's tier and step."""
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, cache: int = CACHE_BYTES) -> DataFrame:
+    """One row a piece: where it lies in its document and in its window, its checksum, the window's tier and step.
+
+    ``cache``: bytes that a worker keeps of known words; fewer cost time only.
+    """
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], names=[*_NAMES, "rest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cache)
         end = end_id.to_bytes(4, "little")
         number = TaskContext.get().partitionId()
         task = _Task(number << 1)

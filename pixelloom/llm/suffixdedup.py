@@ -40,6 +40,8 @@ from pixelloom.llm.suffixarray import LAST, LENGTH, Batch, Family
 GRAM, HEAVY = 24, 2048
 #: Bytes of text that numpy handles at once; bytes of all texts a partition; suffixes of a batch.
 PIECE, PARTITION, BATCH = 1 << 16, 2 << 20, 1 << 17
+#: Pieces whose windows are looked at together.
+CHUNK = 1 << 15
 _U = np.uint64
 
 
@@ -236,18 +238,26 @@ class Pieces:
             yield p, int(z - a).to_bytes(4, "little") + pack.compress(self.least[a:z].tobytes() + self.size[own].tobytes() + b"".join(self._strings(own)))
 
     def covered(self, replies: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, start and end of what goes: every window that an earlier document has."""
+        """Document, start and end of what goes: all runs of windows that an earlier document has."""
         yes = np.zeros(self.suffixes[-1], dtype=bool)
         for p, y, _ in _bits(replies):
             a, z = (self.suffixes[i] for i in self.ranges[p])
             yes[a:z] = y[: z - a]
         later = self.work.order[self.doc] > self.least[self.of]
-        n = (self.suffixes[1:] - self.suffixes[:-1])[self.of[~later]]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = yes[np.repeat(self.suffixes[self.of[~later]], n) + at]
-        begin = np.repeat(self.start[~later], n)[hit] + at[hit]
-        doc = np.concatenate([self.doc[later], np.repeat(self.doc[~later], n)[hit]])
-        return doc, np.concatenate([self.start[later], begin]), np.concatenate([self.start[later] + self.size[later].astype(np.int64), begin + LENGTH])
+        out = [(self.doc[later], self.start[later].astype(np.int64), self.start[later] + self.size[later].astype(np.int64))]
+        asked = np.nonzero(~later)[0]
+        for own in np.split(asked, range(CHUNK, len(asked), CHUNK)):  # a row for each window, but of some pieces at a time
+            n = (self.suffixes[1:] - self.suffixes[:-1])[self.of[own]]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hit = yes[np.repeat(self.suffixes[self.of[own]], n) + at]
+            inner = at > 0  # the window before is one of the same piece
+            begins, ends = hit.copy(), hit.copy()
+            begins[1:] &= ~(hit[:-1] & inner[1:])
+            ends[:-1] &= ~(hit[1:] & inner[1:])
+            place = np.repeat(self.start[own].astype(np.int64), n) + at
+            out.append((np.repeat(self.doc[own], n)[begins], place[begins], place[ends] + LENGTH))
+        doc, start, end = (np.concatenate(c) for c in zip(*out, strict=True))
+        return doc, start, end
 
 
 def _window_hash(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
