@@ -48,7 +48,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training windows; null text is one piece of the end id."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # executors have grown by the stages before, so the workers keep less than the operator alone would
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), cache=36 << 20)
 
 
 STAGES = [
