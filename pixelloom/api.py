@@ -26,7 +26,7 @@ def _by_path(rows: list[dict], paths: Sequence[str], error: str) -> list[dict]:
 def process_images(spark: SparkSession, paths: Sequence[str]) -> list[dict]:
     """The records of many files, from one job."""
     there = sorted({os.path.abspath(p) for p in paths if os.path.isfile(p) and is_image_file(p)})
-    rows = list(sinks.records(records.process_images(files.image_files(spark, there)))) if there else []
+    rows = list(sinks.records(records.process_images(files.image_files(spark, [files.literal(p) for p in there])))) if there else []
     return _by_path(rows, paths, "Failed to load image")
 
 

@@ -88,6 +88,11 @@ def _webp(files: DataFrame, native: bool) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, f"filename string, image {schemas.IMAGE_DDL}")
 
 
+def literal(path: str) -> str:
+    """A path as Spark's readers take it when none of its characters is meant as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 class _Folder(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -101,7 +106,7 @@ class _EmptyReader(DataSourceReader):
         """The entries directly below each path; what lies deeper is listed by the tasks."""
         found = []
         for path in self.paths:
-            fs, root = filesystem(path)
+            fs, root = filesystem(re.sub(r"\\(.)", r"\1", path))
             info = fs.get_file_info(root)
             found += [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
         return [_Folder(i.path) for i in found if not i.is_file or (i.size == 0 and is_image_path(i.path))]
@@ -140,7 +145,9 @@ def _images(reader: DataFrameReader | DataStreamReader, paths: str | list[str],
         return own.option("recursiveFileLookup", "true").option("dropInvalid", "false").option("pathGlobFilter", _glob(extensions)).load(paths)
 
     image = F.col("image") if decode == "native" else _color(F.col("image"))
-    jvm = read("image", JVM_EXTENSIONS).select(F.col("image.origin").alias("filename"), image.alias("image"))
+    # that reader gives names as URLs; the others, and Spark's file listing, give plain paths
+    plain = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
+    jvm = read("image", JVM_EXTENSIONS).select(F.regexp_replace(plain, "^file:/+", "file:/").alias("filename"), image.alias("image"))
     return jvm.unionByName(_webp(read("binaryFile", ("webp",)), decode == "native"))
 
 

@@ -121,6 +121,14 @@ def test_files_and_command_line(spark, tmp_path, monkeypatch):
     (tmp_path / "broken.webp").write_bytes(b"RIFFxxxx")
     (tmp_path / "none.webp").write_bytes(b"")
     (tmp_path / "notes.txt").write_bytes(b"no image")
+    (tmp_path / "odd").mkdir()
+    for n in ("b[1] {x}*.png", "é ?.png"):
+        (tmp_path / "odd" / n).write_bytes(sinks.png(bytes([1, 2, 200] * 6), 3, 2, 3))
+    (tmp_path / "odd" / "e[2].jpg").write_bytes(b"")
+    odd = api.process_images(spark, [str(p) for p in sorted((tmp_path / "odd").iterdir())])
+    assert [("error" in r, r.get("width")) for r in odd] == [(False, 3), (True, None), (False, 3)]
+    for p in (tmp_path / "odd").iterdir():
+        p.unlink()
     wide = np.arange(40, dtype=np.uint8).reshape(4, 10) * 5
     (tmp_path / "w.webp").write_bytes(webp.encode_gray([wide])[0])
     avi(tmp_path / "v.avi", [flat(3, 2, v) for v in (10, 10, 200)], 3, 2)
