@@ -9,7 +9,9 @@ from pixelloom import scratch, sinks
 from pixelloom.operators import images as I
 from pixelloom.operators import records
 from pixelloom.plans import views
-from pixelloom.sources import image_files, media_files, video_tables
+from pixelloom.sources import frame_directories, image_files, media_files, video_tables
+from pixelloom.sources.files import existing
+from pixelloom.streaming import stream_image_features
 
 
 def _id():
@@ -84,5 +86,33 @@ def file_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("r.filename", "videos", "r.width", "r.height", "r.average_brightness", "r.error").select(_id(), "videos", "width", "height", _r("average_brightness"), "error")
 
 
+def file_stream_features(spark: SparkSession, d: str) -> DataFrame:
+    """The image files as a stream of newly arriving files, processed until there are no more."""
+    out = scratch.shared_dir(spark, "stream")
+    stream_image_features(spark, _image_folder(spark, d), f"{out}/rows", f"{out}/log").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(_id(), "width", "height", _r("average_brightness"), _r("blur_score", 4), "error")
+
+
+def file_frame_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Frames as stills in a folder a video."""
+    folder = scratch.shared_dir(spark, "frame-folders")
+    frames = views.gray_frames(spark, d)
+    name = F.concat(F.lit("v"), F.col("video_id").cast("string"), F.lit("/"), F.col("frame_index").cast("string"), F.lit(".png"))
+    sinks.write_images(frames.withColumn("name", name), folder).agg(F.count(F.lit(1))).collect()
+    found = I.average_brightness(frame_directories(spark, folder))
+    return found.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("folder"), "frame_index", _r("average_brightness"))
+
+
+def file_existence(spark: SparkSession, d: str) -> DataFrame:
+    """Which paths of a table exist."""
+    folder = _image_folder(spark, d)
+    i = F.col("image_id")
+    asked = views.wide_images(spark, d).select("image_id", F.concat(F.lit(folder + "/"), F.when(i % 5 == 0, F.concat(F.lit("gone-"), "name")).otherwise(F.col("name"))).alias("path"))
+    return existing(asked).select("image_id", "exists")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (file_image_features, file_image_native, file_folder, file_video_features, file_video_colors, file_report)}
+    found = (
+        file_image_features, file_image_native, file_folder, file_video_features, file_video_colors, file_report, file_stream_features, file_frame_folders, file_existence,
+    )
+    return {f.__name__: f for f in found}

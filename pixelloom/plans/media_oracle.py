@@ -107,6 +107,10 @@ def oracle_sql() -> dict[str, str]:
         "file_video_colors": f"""WITH {_FR}, src AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY f, i) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n, b, g, r
   FROM fpx WHERE f <= 9), {_kmeans('src', 'video_id')}""",
         "file_report": f"""WITH {_PX} SELECT image_id, 0 AS videos, CAST({WIDE[0]} AS BIGINT) AS width, CAST({WIDE[1]} AS BIGINT) AS height, round(sum(g) / 64e0, 6) AS average_brightness, NULL::VARCHAR AS error FROM gray GROUP BY 1""",
+        "file_stream_features": f"""WITH {wide}, {_STATS}, {_laplacian('gray', *WIDE)}
+  SELECT image_id, {WIDE[0]} AS width, {WIDE[1]} AS height, round(bright, 6) AS average_brightness, round(blur, 4) AS blur_score, NULL::VARCHAR AS error FROM st JOIN blur USING (image_id)""",
+        "file_frame_folders": f"""WITH {_PX} SELECT 'v' || (image_id % 2) AS folder, CAST(image_id // 2 AS INT) AS frame_index, round(sum(g) / 64e0, 6) AS average_brightness FROM gray GROUP BY image_id""",
+        "file_existence": "SELECT vec_id AS image_id, vec_id % 5 <> 0 AS exists FROM embeddings",
         "file_router": f"""WITH {_FILES} SELECT path, regexp_matches(path, '{IMAGE_PATTERN}') AS is_image, regexp_matches(path, '{VIDEO_PATTERN}') AS is_video, {_KIND} AS kind,
   regexp_replace(regexp_extract(path, '([^/]*)\\z', 1), '(?s)(.)\\.[^.]*\\z', '\\1') || '_first_frame.jpg' AS still FROM files""",
         "file_kind_counts": f"WITH {_FILES} SELECT {_KIND} AS kind, count(*) AS n FROM files GROUP BY 1",
@@ -125,6 +129,7 @@ def oracle_sql() -> dict[str, str]:
         "image_blur_gray": color(f", {_laplacian('gray')} SELECT image_id, round(blur, 4) AS blur_score FROM blur"),
         "image_edge_count": f"WITH RECURSIVE {_PX}, {_CANNY} SELECT image_id, n AS edge_count FROM edges",
         "image_dominant_colors": f"WITH {_PX}, src AS (SELECT image_id, i, 64 AS n, b, g, r FROM color), {_kmeans('src', 'image_id')}",
+        "image_dominant_colors_k5": f"WITH {_PX}, src AS (SELECT image_id, i, 64 AS n, b, g, r FROM color), {_kmeans('src', 'image_id', k=5)}",
         "image_features": f"""WITH {_PX}, {_STATS}, {_laplacian('gray')}, {_ENTROPY.format('gray')}
   SELECT vec_id AS image_id, {_NAME} AS filename, CASE WHEN {bad} THEN 'Failed to load image' END AS error, CASE WHEN NOT ({bad}) THEN 8 END AS width,
   CASE WHEN NOT ({bad}) THEN 8 END AS height, CASE WHEN NOT ({bad}) THEN 1e0 END AS aspect_ratio, CASE WHEN NOT ({bad}) THEN true END AS is_grayscale,

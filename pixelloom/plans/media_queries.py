@@ -70,6 +70,10 @@ def image_dominant_colors(spark: SparkSession, d: str) -> DataFrame:
     return _centres(I.dominant_colors(views.color_images(spark, d)), "image_id")
 
 
+def image_dominant_colors_k5(spark: SparkSession, d: str) -> DataFrame:
+    return _centres(I.dominant_colors(views.color_images(spark, d), k=5), "image_id")
+
+
 def image_features(spark: SparkSession, d: str) -> DataFrame:
     """The flat image record (list columns left out) of gray images, failures included."""
     metrics = ["width", "height", "aspect_ratio", "is_grayscale", "average_brightness", "channels", "blur_score", "contrast_ratio", "entropy"]
@@ -151,6 +155,7 @@ def queries() -> dict[str, Query]:
         "image_blur_gray": image_blur_gray,
         "image_edge_count": image_edges_gray,
         "image_dominant_colors": image_dominant_colors,
+        "image_dominant_colors_k5": image_dominant_colors_k5,
         "image_features": image_features,
         "video_metadata": video_metadata,
         "video_brightness": _video(V.video_brightness, "average_brightness"),

@@ -79,16 +79,22 @@ def _encoded(kind: str, image: dict, px: np.ndarray) -> bytes:
 def write_images(images: DataFrame, folder: str, name: str = "name") -> DataFrame:
     """Write each ``image`` under its name, whose extension (png, jpg, webp) is the format; (name, saved) of every row.
 
-    A task writes what it reads, so nothing is shuffled; a payload that is no image is not saved.  Names must not repeat.
+    A task writes what it reads, so nothing is shuffled; a payload that is no image is not saved.  Names must not repeat, and
+    may have folders in them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
+        made: set[str] = set()
         for b, found in slices.images(batches, 1):
             saved = []
             for n, image in zip(b.column(0).to_pylist(), found, strict=True):
                 px = kernels.decoded(image)
                 if px is not None:
+                    below = n.rpartition("/")[0]
+                    if below and below not in made:
+                        fs.create_dir(f"{root}/{below}", recursive=True)
+                        made.add(below)
                     with fs.open_output_stream(f"{root}/{n}") as f:
                         f.write(_encoded(n.rsplit(".", 1)[-1].lower(), image, px))
                 saved.append(px is not None)
