@@ -14,9 +14,15 @@ def chunks(text: str) -> list[str] | None:
 
     None where the text has white space other than single blanks and newlines between other characters.
     """
-    if "\x00" in text or text.replace("\n", " ").split(" ") != text.split():
+    if "\x00" in text:
         return None
-    keys = text.replace("\n", " \n").split(" ")
+    keys = text.split()
+    lines = text.count("\n")
+    # as many white-space characters as gaps between words, and all of them blanks and newlines
+    if not keys or len(text) - sum(map(len, keys)) != len(keys) - 1 or text.count(" ") + lines != len(keys) - 1:
+        return None
+    if lines:
+        keys = text.replace("\n", " \n").split(" ")
     keys[0] = "\x00" + keys[0]
     return keys
 

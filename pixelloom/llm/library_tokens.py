@@ -12,7 +12,7 @@ from pixelloom.llm.chunks import MARKS, Bounded, chunk_text, chunks
 
 
 #: Bytes of words and chunks whose ids a worker keeps.
-CACHE_BYTES = 108 << 20
+CACHE_BYTES = 256 << 20
 
 
 def _spelling() -> dict[int, int]:
@@ -41,8 +41,8 @@ class LibraryEncoder:
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.vocab_size = self.tok.get_vocab_size()
         self.normalizer, self.pre, self.model = self.tok.normalizer, self.tok.pre_tokenizer, self.tok.model
-        self.words = Bounded(self._word, cache * 4 // 9, cache // 9)
-        self.cache = Bounded(self._key, cache * 4 // 9, 0)
+        self.marks = Bounded(self._word, 1 << 20, 1 << 20)
+        self.cache = Bounded(self._key, cache * 3 // 4, cache // 4)
 
     def ids(self, text: str) -> bytes:
         if not text:
@@ -66,7 +66,7 @@ class LibraryEncoder:
         word = body.rstrip(MARKS)
         if word.isalpha():
             marks = len(body) - len(word)
-            return self.words[chunk[:-marks]] + self.words[chunk[-marks:]] if marks else self.words[chunk]
+            return self._word(chunk[:-marks]) + self.marks[chunk[-marks:]] if marks else self._word(chunk)
         return b"".join(self._spelt(w) for w, _ in self.pre.pre_tokenize_str(chunk)) if chunk else b""
 
     def _spelt(self, spelt: str) -> bytes:
