@@ -35,7 +35,7 @@ from pixelloom.llm.chunks import MARKS
 PER_LANGUAGE, WORDS, LONGEST, PIECE, STEPS, EVIDENCE = 600, 15_000, 24, 6, 3, 12
 UNKNOWN = 1e-9
 #: Bytes of known words with their scores, and of one step of the forward algorithm.
-CACHE_BYTES, STEP_BYTES = 32 << 20, 6 << 20
+CACHE_BYTES, STEP_BYTES = 96 << 20, 6 << 20
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -101,10 +101,11 @@ class Model:
     pieces: list[str]
     prob: np.ndarray  # pieces + 1 by languages; the last row is "no such piece"
     prior: np.ndarray
+    cache_bytes: int = CACHE_BYTES
 
     def __post_init__(self) -> None:
         self.index, self.cache = Pieces(self.pieces), {}
-        self.most = CACHE_BYTES // (200 + 4 * len(self.languages))
+        self.most = self.cache_bytes // (200 + 4 * len(self.languages))
         self.step = max(16, STEP_BYTES // (16 * (LONGEST + 1) * max(1, len(self.languages))))
         self.rows = np.zeros((1 << 12, len(self.languages)), dtype=np.float32)
         self.used = 1  # row 0: a token without letters
@@ -238,24 +239,27 @@ def _maximise(model: Model, words: list[str], weights: np.ndarray) -> None:
     model.prob[-1] = 0.0
 
 
-def _model(name: str, shared: Broadcast) -> Model:
+def _model(name: str, shared: Broadcast, cache: int) -> Model:
     """The worker's copy of a broadcast model, made once."""
 
     def make() -> Model:
         languages, pieces, prob, prior = shared.value
-        return Model(languages, pieces, prob.astype(np.float64), prior)
+        return Model(languages, pieces, prob.astype(np.float64), prior, cache)
 
     return store.resident(name, make)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every whole text; the text is all that a prediction sees."""
+def predict(docs: DataFrame, model: Model, cache: int = CACHE_BYTES) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every whole text; the text is all that a prediction sees.
+
+    ``cache``: bytes that a worker keeps of known words; fewer cost time only.
+    """
     sent = (model.languages, model.pieces, model.prob.astype(np.float32), model.prior)
     shared = docs.sparkSession.sparkContext.broadcast(sent)  # vocabulary by languages: bounded by both parameters
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _model(name, shared)
+        own = _model(name, shared, cache)
         for rows, texts in store.slices(batches):
             found = own.predict(texts)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -268,7 +272,7 @@ def identify(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     return predict(docs, learn(docs, vocabulary_path))
 
 
-def identified(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+def identified(docs: DataFrame, vocabulary_path: str, cache: int = CACHE_BYTES) -> DataFrame:
     """The rows, with all their columns, whose language can be told; those that are ``und`` go."""
     if docs.drop("text").columns == docs.columns:
         raise ValueError("no text column")
@@ -277,7 +281,7 @@ def identified(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _model(name, shared)
+        own = _model(name, shared, cache)
         for rows, texts in store.slices(batches):
             yield rows.filter(pa.array([x != "und" for x, _ in own.predict(texts)], pa.bool_()))
 
