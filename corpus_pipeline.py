@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import langid, linededup, packing, simhash, store, suffixdedup
 
+#: Bytes of known words that a Python worker keeps.  Executors have grown by the stages before, so this is less than the operators alone take.
+WORD_CACHE = 40 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told (null text, or text without letters); the rest stay as they are."""
-    return langid.identified(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return langid.identified(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), cache=WORD_CACHE)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -48,8 +51,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training windows; null text is one piece of the end id."""
-    # executors have grown by the stages before, so the workers keep less than the operator alone would
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), cache=36 << 20)
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), cache=WORD_CACHE)
 
 
 STAGES = [
