@@ -28,13 +28,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component): every node of an edge (a < b) with the least node of its component."""
-    now = edges
-    while True:
+    now, rows, same = edges, edges.count(), False
+    while not same:
         after = store.staged(_star(_star(now, large=True), large=False), "components")
         # both tables are distinct rows, so as many rows and none that is new mean the same rows
-        new = after.join(now, ["a", "b"], "left_anti").limit(1).count()
-        same = not new and after.count() == now.count()
+        before, rows = rows, after.count()
+        same = before == rows and not after.join(now, ["a", "b"], "left_anti").limit(1).count()
         now = after
-        if same:
-            break
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
