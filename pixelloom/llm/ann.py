@@ -236,62 +236,101 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _nearest(k: int, width: int):
+    """The k nearest of each query among the rows of a bundle that lie in parts it visits."""
+
     def run(table: pa.Table) -> pa.Table:
         role = table.column("role").to_numpy()
         ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks(), width)
-        own, vectors = ids[role == 0], x[role == 0]
-        asked, queries = ids[role == 1], x[role == 1]
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        for s in range(0, len(asked) if len(own) else 0, 256):
-            rough = queries[s : s + 256] @ vectors.T
-            rough[asked[s : s + 256, None] == own[None, :]] = -np.inf
-            m = min(k, len(own))
-            floor = np.partition(rough, len(own) - m, axis=1)[:, len(own) - m]
-            for i, q in enumerate(asked[s : s + 256]):
-                near = np.nonzero((rough[i] >= floor[i] - 1e-9 * (1 + abs(floor[i]))) & (rough[i] > -np.inf))[0]
-                exact = (vectors[near] * queries[s + i]).sum(axis=1)  # the same sum whatever the block
-                best = np.lexsort((own[near], -exact))[:k]
-                out["query_id"] += [int(q)] * len(best)
-                out["vec_id"] += own[near[best]].tolist()
-                out["score"] += exact[best].tolist()
-        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+        lists = table.column("parts").combine_chunks()
+        flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(ids)), size)
+        stored, asked = role[row] == 0, role[row] == 1
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for p in np.unique(flat[stored]):
+            own = row[stored & (flat == p)]
+            queries = row[asked & (flat == p)]
+            for s in range(0, len(queries), 256):
+                q = queries[s : s + 256]
+                rough = x[q] @ x[own].T
+                rough[ids[q, None] == ids[None, own]] = -np.inf
+                m = min(k, len(own))
+                floor = np.partition(rough, len(own) - m, axis=1)[:, len(own) - m, None]
+                at, near = np.nonzero((rough >= floor - 1e-9 * (1 + np.abs(floor))) & (rough > -np.inf))
+                # the same sum whatever the block
+                found.append((ids[q[at]], ids[own[near]], np.concatenate([(x[q[at[c : c + 8192]]] * x[own[near[c : c + 8192]]]).sum(axis=1) for c in range(0, len(at), 8192)] or [np.zeros(0)])))
+        query, near, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((near, -score, query))
+        query, near, score = query[order], near[order], score[order]
+        new = np.ones(len(query), dtype=bool)
+        new[1:] = (query[1:] != query[:-1]) | (near[1:] != near[:-1]) | (score[1:] != score[:-1])
+        query, near, score = query[new], near[new], score[new]
+        first = np.searchsorted(query, query)
+        best = np.arange(len(query)) - first < k
+        return pa.table({"query_id": query[best], "vec_id": near[best], "score": score[best]}, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     return run
 
 
+def bundles(sizes: np.ndarray) -> np.ndarray:
+    """The bundle of each part: neighbours by number that together hold at most BLOCK rows, or one part with more."""
+    out, held, bundle = np.zeros(len(sizes), dtype=np.int64), 0, 0
+    for p, n in enumerate(sizes.tolist()):
+        if held and held + n > BLOCK:
+            bundle, held = bundle + 1, 0
+        out[p], held = bundle, held + n
+    return out
+
+
 def _asked(index: DataFrame, queries: DataFrame, sizes: np.ndarray, k: int, width: int) -> DataFrame:
-    """(query_id, vec_id, score) of the k nearest in each block that a query visits; ``queries``: vec_id, v, parts."""
-    counts = {r["p"]: r["count"] for r in queries.select(F.explode("parts").alias("p")).groupBy("p").count().collect()}  # one row a part
-    blocks = np.maximum(1, -(-sizes // BLOCK))
-    q_blocks = np.array([-(-counts.get(p, 0) // BLOCK) for p in range(len(sizes))])
+    """(query_id, vec_id, score) of the k nearest in each bundle that a query visits; ``queries``: vec_id, v, parts.
+
+    Parts are searched one by one, but travel in bundles, so a query and its answers travel once a bundle.
+    """
+    bundle = bundles(sizes)
+    blocks = np.maximum(1, -(-np.bincount(bundle, weights=sizes).astype(np.int64) // BLOCK))
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.unique(bundle[p]) for p in b.column(0).to_numpy(zero_copy_only=False)], pa.list_(pa.int32()))], names=["b"])
+
+    visited = queries.select("parts").mapInArrow(visits, "b array<int>").select(F.explode("b").alias("b"))
+    counts = {r["b"]: r["count"] for r in visited.groupBy("b").count().collect()}  # one row a bundle
+    q_blocks = np.array([-(-counts.get(b, 0) // BLOCK) for b in range(len(blocks))])
 
-    def rows(b: pa.RecordBatch, at: np.ndarray, p: np.ndarray, block: np.ndarray, q: np.ndarray, role: int) -> pa.RecordBatch:
+    def rows(b: pa.RecordBatch, at: np.ndarray, group: np.ndarray, block: np.ndarray, q: np.ndarray, role: int, parts: pa.Array) -> pa.RecordBatch:
         take = pa.array(at, pa.int64())
-        columns = [pa.array(c, pa.int32()) for c in (p, block, q, np.full(len(at), role))]
-        return pa.RecordBatch.from_arrays([*columns, b.column(0).take(take), b.column(1).take(take)], names=["part", "block", "q", "role", "vec_id", "v"])
+        columns = [pa.array(c, pa.int32()) for c in (group, block, q, np.full(len(at), role))]
+        return pa.RecordBatch.from_arrays([*columns, parts, b.column(0).take(take), b.column(1).take(take)], names=["bundle", "block", "q", "role", "parts", "vec_id", "v"])
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, p = b.column(0).to_numpy(), b.column(2).to_numpy()
-            block = (ids * 2654435761 >> 7) % blocks[p]
-            for q in range(int(q_blocks[p].max(initial=0))):
-                on = np.nonzero(q_blocks[p] > q)[0]
-                yield rows(b, on, p[on], block[on], np.full(len(on), q), 0)
+            group = bundle[p]
+            block = (ids * 2654435761 >> 7) % blocks[group]
+            for q in range(int(q_blocks[group].max(initial=0))):
+                on = np.nonzero(q_blocks[group] > q)[0]
+                parts = pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1), pa.int32()), pa.array(p[on], pa.int32()))
+                yield rows(b, on, group[on], block[on], np.full(len(on), q), 0, parts)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for s in range(0, whole.num_rows, 64):
-                b = whole.slice(s, 64)
-                ids, lists = b.column(0).to_numpy(), b.column(2)
-                p = lists.flatten().to_numpy()
-                at = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-                n = blocks[p]
-                at, block, p = np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(p, n)
-                yield rows(b, at, p, block, (ids[at] * 40503 >> 5) % q_blocks[p], 1)
-
-    schema = "part int, block int, q int, role int, vec_id long, v array<double>"
+            for s in range(0, whole.num_rows, 256):
+                b = whole.slice(s, 256)
+                ids = b.column(0).to_numpy()
+                at, group, block, parts = [], [], [], []
+                for i, own in enumerate(b.column(2).to_numpy(zero_copy_only=False)):
+                    for g in np.unique(bundle[own]).tolist():
+                        for n in range(int(blocks[g])):
+                            at.append(i)
+                            group.append(g)
+                            block.append(n)
+                            parts.append(own[bundle[own] == g])
+                at, group = np.array(at, dtype=np.int64), np.array(group, dtype=np.int64)
+                yield rows(b, at, group, np.array(block, dtype=np.int64), (ids[at] * 40503 >> 5) % q_blocks[group], 1, pa.array(parts, pa.list_(pa.int32())))
+
+    schema = "bundle int, block int, q int, role int, parts array<int>, vec_id long, v array<double>"
     every = index.mapInArrow(stored, schema).unionByName(queries.mapInArrow(dealt, schema))
-    return every.groupBy("part", "block", "q").applyInArrow(_nearest(k, width), "query_id long, vec_id long, score double")
+    return every.groupBy("bundle", "block", "q").applyInArrow(_nearest(k, width), "query_id long, vec_id long, score double")
 
 
 def search(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
