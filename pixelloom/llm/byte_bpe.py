@@ -67,8 +67,8 @@ class ByteBpe:
             put = free & first
             self.slot_key[at[put]], self.slot_rank[at[put]] = keys[put], values[put]
             keys, values, at = keys[~put], values[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
-        self.cache = Bounded(lambda k: self.words_ids([chunk_text(k)])[0], 32 << 20, 0)
-        self.words = Bounded(lambda w: self.words_ids([w])[0], 40 << 20, 12 << 20)
+        self.cache = Bounded(lambda k: self.words_ids([chunk_text(k)])[0], 64 << 20, 0)
+        self.words = Bounded(lambda w: self.words_ids([w])[0], 80 << 20, 24 << 20)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
