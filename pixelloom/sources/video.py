@@ -2,7 +2,8 @@
 
 AVI files with raw frames (24 bits, or 8 bits through a palette) give pixels; Motion JPEG in AVI, and JPEG or PNG frames in
 QuickTime and MP4 files, give the coded frames, which ``decoded`` turns into pixels with the JVM's decoders.  Other
-codecs need a decoder that is not part of Spark: their files give one row with the container's metadata and ``error``.
+codecs need a decoder that is not part of Spark: their files give one row of ``frame_index`` -1 with the container's metadata
+and ``error``, as files without any frame do without ``error``.
 
 A file is one partition; frames are read one after another, and a filter on ``frame_index`` is pushed into the reader,
 which then stops at the cap.  Files must be on a path that the executors can open.  A frame with fewer bytes than it
@@ -34,7 +35,7 @@ FAILED = "Failed to load video"
 
 
 def _failed(path: str) -> tuple:
-    return (path, None, -1, -1.0, -1, -1, None, None, None, FAILED)
+    return (path, -1, -1, -1.0, -1, -1, None, None, None, FAILED)
 
 
 def _chunks(f, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -90,7 +91,7 @@ def avi_frames(path: str, last: int | None = None) -> Iterator[tuple]:
             elif name[2:] in (b"db", b"dc") and head:
                 coded = "jpeg" if kind.upper() == b"MJPG" else None
                 if coded is None and (bits not in (8, 24) or kind != b"\0\0\0\0"):
-                    yield (path, None, *head, None, None, None, FAILED)
+                    yield (path, -1, *head, None, None, None, FAILED)
                     return
                 if last is not None and index > last:
                     return
@@ -104,7 +105,7 @@ def avi_frames(path: str, last: int | None = None) -> Iterator[tuple]:
         if head is None:
             yield _failed(path)
         elif index == 0:
-            yield (path, None, *head, None, None, None, None)
+            yield (path, -1, *head, None, None, None, None)
 
 
 _BOXES = (b"moov", b"trak", b"mdia", b"minf", b"stbl")
@@ -170,7 +171,7 @@ def movie_frames(path: str, last: int | None = None) -> Iterator[tuple]:
         head = (count, count * scale / ticks if ticks else 0.0, width, height)
         coded = {b"jpeg": "jpeg", b"mjpa": "jpeg", b"png ": "png"}.get(codec)
         if coded is None:
-            yield (path, None, *head, None, None, None, f"No decoder for {codec.decode('latin-1').strip()}")
+            yield (path, -1, *head, None, None, None, f"No decoder for {codec.decode('latin-1').strip()}")
             return
         for index, (at, n) in enumerate(zip(*_places(track), strict=True)):
             if last is not None and index > last:
@@ -179,7 +180,7 @@ def movie_frames(path: str, last: int | None = None) -> Iterator[tuple]:
             raw = f.read(int(n))
             yield (path, index, *head, None, coded, raw if len(raw) == n and n else None, None)
         if not count:
-            yield (path, None, *head, None, None, None, None)
+            yield (path, -1, *head, None, None, None, None)
 
 
 def read_frames(path: str, last: int | None = None) -> Iterator[tuple]:
@@ -288,7 +289,7 @@ def video_tables(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame,
     register(spark)
     source = spark.read.format("video_frames").option("paths", json.dumps([path] if isinstance(path, str) else list(path))).load()
     raw = source.withColumn("video_id", F.xxhash64("path"))
-    videos = raw.filter(F.col("frame_index").isNull() | (F.col("frame_index") <= 0)).select("video_id", "path", "frame_count", "fps", "width", "height", "error")
+    videos = raw.filter(F.col("frame_index") <= 0).select("video_id", "path", "frame_count", "fps", "width", "height", "error")
     image = F.struct(F.col("path").alias("origin"), "height", "width", "nChannels", F.when(F.col("nChannels") == 1, 0).otherwise(16).alias("mode"), "data")
     frames = raw.filter((F.col("frame_index") >= 0) & F.col("coded").isNull()).select("video_id", "frame_index", image.cast(schemas.IMAGE_DDL).alias("image"))
     coded = raw.filter((F.col("frame_index") >= 0) & F.col("coded").isNotNull())
