@@ -98,7 +98,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.nda
     # at most POSITIVE + NEGATIVE rows of three numbers are broadcast
     joined = store.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "o", "toxic")
     made = joined.mapInArrow(run, "o long, toxic int, doc_id long, f binary")
-    files = sorted(store.staged(made.orderBy("o", "doc_id", "f"), "toxicity-rows").inputFiles())
+    files = sorted(store.staged(made.orderBy("o", "doc_id", F.xxhash64("f")), "toxicity-rows").inputFiles())
 
     def rows() -> Iterator[tuple[np.ndarray, int]]:
         for file in files:
