@@ -371,7 +371,8 @@ class Removals:
         asked = mail.deliver(store.dealt(blocks).mapInArrow(send, mail.POSTED), parts)
         replies = mail.deliver(asked.groupBy("to").applyInArrow(resolve, mail.POSTED), count)
         grouped = replies.groupBy(F.col("to").alias("blk")).agg(F.collect_list("parcel").alias(name))
-        return store.staged(blocks.join(grouped, "blk", "left"), f"suffix-{name}")
+        # Spark takes the answers for as small as the block table that they come from, and would broadcast them all by way of the driver
+        return store.staged(blocks.join(grouped.hint("merge"), "blk", "left"), f"suffix-{name}")
 
     def _work(self) -> Callable[[dict], Work]:
         column, key, parts = self.column, self.key, self.parts

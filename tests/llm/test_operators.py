@@ -126,6 +126,20 @@ def test_crowded_anchors_small_blocks_and_colliding_hashes(spark, odd, monkeypat
         assert by_id(suffixdedup.digests(odd)) == brute.suffix_dedup(pairs(odd))
 
 
+def test_answers_are_not_broadcast(spark, odd, monkeypatch):
+    """Answers of a round grow with the bytes of all texts, so none may pass through the driver, however small Spark takes them for."""
+    plans, staged = {}, store.staged
+
+    def kept(df, name, folder=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, name, folder)
+
+    monkeypatch.setattr(store, "staged", kept)
+    assert by_id(suffixdedup.digests(odd)) == brute.suffix_dedup(pairs(odd))
+    for name in ("suffix-r1", "suffix-r2"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
+
+
 def test_rows_that_share_ids_and_null_ids(spark):
     """Equal texts under one id remove nothing from each other; a null id is larger than any; every row stays a row."""
     t = "".join(random.Random(1).choice("abcdefgh ") for _ in range(90))
